@@ -1,0 +1 @@
+"""Nothing streams: the source work has no event time, windows or state.  Batches are landed tables or folders."""
