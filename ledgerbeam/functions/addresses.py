@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..specs import catalogues
-from .lookups import literal_list, literal_map, lookup
+from .lookups import literal_map, lookup, lookup_list
 from .text import clean, fold_breaks, known, last_pin, let, squeeze
 
 STATE_NAMES = catalogues.COMMERCIAL_STATE
@@ -78,25 +78,48 @@ def _within_budget(word: Column, names: Column) -> Column:
     return F.get(near, F.lit(0))
 
 
+def _by_length(names: list[str]) -> dict[str, list[str]]:
+    """Word length to the names that can lie within their typo budget of such a word."""
+    longest = max(len(n) for n in names) + 2
+    near = {str(m): [n for n in names if abs(len(n) - m) <= typo_budget(len(n))] for m in range(4, longest + 1)}
+    return {m: ns for m, ns in near.items() if ns}
+
+
 _LONG_STATES = [n for n, _ in _NEEDLES if typo_budget(len(n)) > 0]
-_LONG_CITIES = [n for n in _CITIES if typo_budget(len(n)) > 0]
+_STATES_BY_LENGTH = _by_length(_LONG_STATES)
+_STATES_BY_CODE = {code: [n for n, c in _NEEDLES if c == code and n in set(_LONG_STATES)] for code in STATE_NAMES}
+_CITIES_BY_LENGTH = _by_length([n for n in _CITIES if typo_budget(len(n)) > 0])
 
 
-def fuzzy_state(lower: Column) -> Column:
-    """Last run of one to three words that nearly spells a state: struct(last, first, code), word ordinals."""
-    words = F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))
-    ends = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+def _runs(lower: Column, names: Callable[[Column], Column]) -> Column:
+    """Runs of one to three words that nearly spell one of the names offered for them, by where they end;
+    structs (last, first, name) of word ordinals, the earliest start of a run with the same end only."""
+    def ending(words: Column) -> Callable[[Column], Column]:
+        def at(last: Column) -> Column:
+            def one(n: int) -> Column:
+                run = F.array_join(F.slice(words, last - n + 1, n), " ")
+                name = F.when(last >= n, let(run, lambda r: _within_budget(r, names(r))))
+                return F.struct(last.alias("last"), (last - n + 1).alias("first"), name.alias("name"))
+            return F.get(F.filter(F.array(one(3), one(2), one(1)), lambda r: r["name"].isNotNull()), F.lit(0))
+        return at
+
+    def search(words: Column) -> Column:
+        ends = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+        return F.filter(F.transform(ends, ending(words)), lambda r: r.isNotNull())
+
+    return let(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0)), search)
 
-    def runs(last: Column) -> Column:
-        # The earliest start of a run with this end wins, so longer runs come first.
-        def one(n: int) -> Column:
-            run = F.array_join(F.slice(words, last - n + 1, n), " ")
-            code = F.when(last >= n, lookup(_STATE_BY_NAME, _within_budget(run, literal_list(_LONG_STATES))))
-            return F.struct(last.alias("last"), (last - n + 1).alias("first"), code.alias("code"))
-        return F.get(F.filter(F.array(one(3), one(2), one(1)), lambda r: r["code"].isNotNull()), F.lit(0))
 
-    hits = F.filter(F.transform(ends, runs), lambda r: r.isNotNull())
-    return F.when(F.size(words) > 0, F.try_element_at(hits, F.lit(-1)))
+def fuzzy_state(lower: Column, circle: Column) -> Column:
+    """A misspelt state confirmed by the PIN's circle: struct(last, first, code), word ordinals.
+
+    The last near miss in the text decides.  The few spellings of the circle's own state are tried first;
+    only if one of them fits are all spellings searched for a later near miss."""
+    own = _runs(lower, lambda r: lookup_list(_STATES_BY_CODE, circle))
+    every = _runs(lower, lambda r: lookup_list(_STATES_BY_LENGTH, F.length(r).cast("string")))
+    last = F.when(F.size(own) > 0, F.try_element_at(every, F.lit(-1)))
+    return let(last, lambda r: F.struct(r["last"].alias("last"), r["first"].alias("first"),
+                                        lookup(_STATE_BY_NAME, r["name"]).alias("code")))
 
 
 def _word_offset(lower: Column, ordinal: Column) -> Column:
@@ -120,7 +143,7 @@ def city_notes(city: Column) -> Column:
 
     def near(w: Column) -> Column:
         unknown = (F.length(w) >= 6) & lookup(_CITIES, w).isNull()
-        return F.when(unknown, _within_budget(w, literal_list(_LONG_CITIES)))
+        return F.when(unknown, _within_budget(w, lookup_list(_CITIES_BY_LENGTH, F.length(w).cast("string"))))
 
     def typo(w: Column) -> Column:
         return F.concat(F.lit('City "'), city, F.lit('": "'), F.upper(w), F.lit('" looks like a misspelling of "'),
@@ -148,20 +171,17 @@ def phone_note(who: Column, mobile: Column) -> Column:
 
 
 class Parties:
-    """An array of party structs, extended step by step."""
+    """An array of party structs, extended step by step; fields are dropped as soon as nothing needs them,
+    because every step copies what it carries."""
 
     def __init__(self, column: Column, fields: tuple[str, ...]):
         self.column, self.fields = column, fields
 
-    def add(self, **steps: Callable[[Column], Column]) -> "Parties":
-        names = (*self.fields, *steps)
+    def add(self, drop: tuple[str, ...] = (), **steps: Callable[[Column], Column]) -> "Parties":
+        kept = tuple(f for f in self.fields if f not in drop)
         col = F.transform(self.column, lambda p: F.struct(
-            *[p[f].alias(f) for f in self.fields], *[make(p).alias(n) for n, make in steps.items()]))
-        return Parties(col, names)
-
-    def keep(self, *names: str) -> "Parties":
-        col = F.transform(self.column, lambda p: F.struct(*[p[n].alias(n) for n in names]))
-        return Parties(col, names)
+            *[p[f].alias(f) for f in kept], *[make(p).alias(n) for n, make in steps.items()]))
+        return Parties(col, (*kept, *steps))
 
 
 def _start_of_state(p: Column) -> Column:
@@ -176,30 +196,34 @@ def _typed_state(p: Column) -> Column:
     return F.substring(p["full"], p["start"] + 1, end - p["start"])
 
 
-def split_free_text(parties: Parties) -> Parties:
-    """Read line 1, city, state and PIN out of the free-text address ``raw``.
+PARSED = ("full", "t_pin", "t_circle", "spelling", "t_line1", "t_city", "p_state")
+
+
+def split_free_text(raws: Column) -> Parties:
+    """Read line 1, city, state and PIN out of an array of free-text addresses.
 
     With a state in the text the whole text is line 1 and the city stands before the state; otherwise
     the text is street, city, PIN and the state follows from the city or the PIN."""
-    p = parties.add(full=lambda p: known(fold_breaks(clean(p["raw"]))))
+    p = Parties(F.transform(raws, lambda r: F.struct(known(fold_breaks(r)).alias("full"))), ("full",))
     p = p.add(lower=lambda p: F.lower(p["full"]), t_pin=lambda p: last_pin(p["full"]))
-    p = p.add(hit=lambda p: F.try_element_at(state_hits(p["lower"]), F.lit(-1)))
+    p = p.add(hit=lambda p: F.try_element_at(state_hits(p["lower"]), F.lit(-1)), t_circle=lambda p: state_from_pin(p["t_pin"]))
     # A near miss may be an ordinary word, so it counts only when the PIN's circle agrees.
-    p = p.add(near=lambda p: F.when(
-        p["hit"].isNull() & state_from_pin(p["t_pin"]).isNotNull(), fuzzy_state(p["lower"])))
-    p = p.add(fuzzy=lambda p: F.when(p["near"]["code"] == state_from_pin(p["t_pin"]), p["near"]))
+    p = p.add(fuzzy=lambda p: F.when(p["hit"].isNull() & p["t_circle"].isNotNull(), let(
+        fuzzy_state(p["lower"], p["t_circle"]), lambda n: F.when(n["code"] == p["t_circle"], n))))
     p = p.add(start=_start_of_state, t_state=lambda p: F.coalesce(
         lookup(_STATE_BY_SQUASHED, F.regexp_replace(p["hit"], r"[\s&.,-]", "")), p["fuzzy"]["code"]))
     p = p.add(
+        drop=("lower", "hit", "fuzzy"),
         before=lambda p: F.regexp_replace(F.substring(p["full"], F.lit(1), p["start"]), r"[\s,-]+$", ""),
         tail=lambda p: F.when(p["start"].isNull(), F.coalesce(clean(F.regexp_replace(p["full"], _INDIA, "")), F.lit(""))),
         spelling=lambda p: F.when(p["fuzzy"].isNotNull(), F.concat(
             F.lit('State "'), _typed_state(p), F.lit('" in the address looks misspelt; read as '),
             state_name(p["fuzzy"]["code"]), F.lit(" ("), p["fuzzy"]["code"], F.lit(")."))),
     )
-    p = p.add(street=lambda p: F.when(p["t_pin"].isNotNull(), F.regexp_extract(
+    p = p.add(street=lambda p: F.when(p["start"].isNull() & p["t_pin"].isNotNull(), F.regexp_extract(
         p["tail"], r"(?s)^(.*)(?<![0-9])[0-9]{6}(?![0-9])", 1)))
     p = p.add(
+        drop=("before", "tail", "street"),
         t_line1=lambda p: F.when(p["start"].isNotNull(), p["full"])
         .when(p["street"].isNull(), clean(p["tail"]))
         .when(p["street"].contains(","), clean(F.regexp_replace(
@@ -210,33 +234,35 @@ def split_free_text(parties: Parties) -> Parties:
             .otherwise(clean(F.regexp_extract(p["before"], r"(\S*)$", 1))))
         .otherwise(clean_city(F.regexp_extract(p["street"], r"([^,]*)$", 1))),
     )
-    return p.add(p_state=lambda p: F.coalesce(
-        p["t_state"], F.when(p["start"].isNull(), F.coalesce(
-            lookup(_CITIES, F.lower(p["t_city"])), state_from_pin(p["t_pin"])))))
-
-
-def resolve_parties(parties: Parties) -> Parties:
-    """Explicit address columns win over parsed text; adds resolved parts, phones and findings."""
-    p = split_free_text(parties)
-    p = p.add(
-        typed=lambda p: known(p["state"]),
-        r_pin=lambda p: F.coalesce(known(p["pin"]), p["t_pin"]),
-        r_city=lambda p: F.coalesce(known(p["city"]), p["t_city"]),
-        r_line1=lambda p: F.coalesce(known(p["line1"]), p["t_line1"]),
-        r_line2=lambda p: known(p["line2"]),
-        r_line3=lambda p: known(p["line3"]),
-        r_mobile=lambda p: F.coalesce(known(p["mobile"]), known(p["contact"])),
-        r_std=lambda p: known(p["std"]),
-        r_landline=lambda p: known(p["landline"]),
-    )
-    p = p.add(
-        r_state=lambda p: F.when(p["typed"].isNotNull(), named_state(p["state"]))
-        .otherwise(F.coalesce(p["p_state"], state_from_pin(p["r_pin"]))),
-        r_district=lambda p: F.coalesce(known(p["district"]), p["r_city"]),
-        circle=lambda p: state_from_pin(p["r_pin"]),
-    )
+    return p.add(drop=("start", "t_state"), p_state=lambda p: F.coalesce(
+        p["t_state"], F.when(p["start"].isNull(), F.coalesce(lookup(_CITIES, F.lower(p["t_city"])), p["t_circle"]))))
+
+
+RESOLVED = ("r_line1", "r_line2", "r_line3", "r_city", "r_district", "r_state", "r_pin",
+            "r_mobile", "r_std", "r_landline", "notes", "phone_note", "no_state")
+
+
+def resolve_parties(parties: Column, keep: tuple[str, ...] = ("who",)) -> Column:
+    """Explicit address columns win over parsed text: array of structs with ``keep`` and the resolved parts,
+    phones and findings."""
+    parsed = split_free_text(F.transform(parties, lambda p: p["raw"]))
+    merged = F.zip_with(parties, parsed.column, lambda p, t: F.struct(
+        *[p[k].alias(k) for k in keep], t["spelling"].alias("spelling"), t["full"].isNotNull().alias("has_text"),
+        F.coalesce(known(p["line1"]), t["t_line1"]).alias("r_line1"), known(p["line2"]).alias("r_line2"),
+        known(p["line3"]).alias("r_line3"), F.coalesce(known(p["city"]), t["t_city"]).alias("r_city"),
+        known(p["district"]).alias("district"), known(p["state"]).alias("typed"), t["p_state"].alias("p_state"),
+        F.coalesce(known(p["pin"]), t["t_pin"]).alias("r_pin"),
+        F.coalesce(known(p["mobile"]), known(p["contact"])).alias("r_mobile"),
+        known(p["std"]).alias("r_std"), known(p["landline"]).alias("r_landline")))
+    p = Parties(merged, (*keep, "spelling", "has_text", "r_line1", "r_line2", "r_line3", "r_city", "district", "typed",
+                         "p_state", "r_pin", "r_mobile", "r_std", "r_landline"))
+    p = p.add(drop=("district",), circle=lambda p: state_from_pin(p["r_pin"]),
+              r_district=lambda p: F.coalesce(p["district"], p["r_city"]))
+    p = p.add(drop=("typed", "p_state"), r_state=lambda p: F.when(p["typed"].isNotNull(), named_state(p["typed"]))
+              .otherwise(F.coalesce(p["p_state"], p["circle"])))
     exempt = catalogues.PIN_EXEMPT_STATES
     return p.add(
+        drop=("spelling", "circle", "has_text"),
         notes=lambda p: F.concat(
             F.array_compact(F.array(p["spelling"], F.when(
                 (p["circle"] != p["r_state"]) & ~p["r_state"].isin(*exempt) & ~p["circle"].isin(*exempt),
@@ -245,9 +271,8 @@ def resolve_parties(parties: Parties) -> Parties:
                          F.lit("); correct the PIN or the state."))))),
             city_notes(p["r_city"])),
         phone_note=lambda p: phone_note(p["who"], p["r_mobile"]),
-        no_state=lambda p: (p["full"].isNotNull() | p["r_line1"].isNotNull()) & p["r_state"].isNull(),
-    ).keep(*parties.fields, "r_line1", "r_line2", "r_line3", "r_city", "r_district", "r_state", "r_pin",
-           "r_mobile", "r_std", "r_landline", "notes", "phone_note", "no_state")
+        no_state=lambda p: (p["has_text"] | p["r_line1"].isNotNull()) & p["r_state"].isNull(),
+    ).column
 
 
 def party(who: Column, **inputs: Column) -> Column:
@@ -256,18 +281,13 @@ def party(who: Column, **inputs: Column) -> Column:
     return F.struct(who.alias("who"), *[inputs.get(n, null).cast("string").alias(n) for n in PARTY_INPUTS])
 
 
-PARTY_FIELDS = ("who", *PARTY_INPUTS)
-
-
 def split_address(raw: Column) -> Column:
     """struct(line1, city, state_code, pin, note) of one free-text address."""
-    p = split_free_text(Parties(F.array(party(F.lit(""), raw=raw)), PARTY_FIELDS))
-    return F.get(F.transform(p.column, lambda x: F.struct(
+    return F.get(F.transform(split_free_text(F.array(raw)).column, lambda x: F.struct(
         x["t_line1"].alias("line1"), x["t_city"].alias("city"), x["p_state"].alias("state_code"),
         x["t_pin"].alias("pin"), x["spelling"].alias("note"))), F.lit(0))
 
 
 def resolve_address(**inputs: Column) -> Column:
     """Resolved address of one party given as free text and/or separate columns."""
-    p = resolve_parties(Parties(F.array(party(F.lit("Party"), **inputs)), PARTY_FIELDS))
-    return F.get(p.column, F.lit(0))
+    return F.get(resolve_parties(F.array(party(F.lit("Party"), **inputs))), F.lit(0))

@@ -29,6 +29,11 @@ def lookup(table: Mapping[str, str], key: Column) -> Column:
     return F.try_element_at(literal_map(table), key)
 
 
+def lookup_list(table: Mapping[str, Iterable[str]], key: Column) -> Column:
+    """Array of the texts filed under a key."""
+    return F.split(lookup({k: "\x03".join(v) for k, v in table.items()}, key), "\x03")
+
+
 def legend_code(name: str, c: Column) -> Column:
     """Wire code of a dropdown value given as code, label or number, in that order of precedence.
 
