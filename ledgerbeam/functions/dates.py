@@ -16,7 +16,8 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 
 def ddmmyyyy(date: Column) -> Column:
-    return F.date_format(date, "ddMMyyyy")
+    # Serials far out of range give years past 9999, which Spark writes with a plus sign.
+    return F.translate(F.date_format(date, "ddMMyyyy"), "+", "")
 
 
 def parse_ddmmyyyy(s: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.amounts import number_text
 from ..functions.dates import typed_date_text
-from ..functions.text import clean, fold_breaks
+from ..functions.text import clean
 from ..specs.model import DATE, NUMBER, Format, Segment
 from .partitioning import attach, group_value
 
@@ -38,8 +38,9 @@ def values_of(seg: Segment, given: Mapping[str, Column]) -> Column:
     unknown = set(given) - {f.key for f in seg.fields}
     if unknown:
         raise KeyError(f"{seg.tag} has no fields {sorted(unknown)}")
+    constants = {d: F.lit(d) for d in {f.default for f in seg.fields}}
     return F.array(*[
-        F.coalesce(given[f.key], F.lit(f.default)) if f.key in given else F.lit(f.default) for f in seg.fields
+        F.coalesce(given[f.key], constants[f.default]) if f.key in given else constants[f.default] for f in seg.fields
     ])
 
 
@@ -83,20 +84,42 @@ def typed_value(c: Column, kind: str, dtype: T.DataType) -> Column:
     return clean(c.cast("string"))
 
 
+def cell_text(name: str) -> Column:
+    """A named input column as trimmed one-line text, NULL when blank.
+
+    Written as SQL text: intake has one of these per column, and text is far cheaper to build than expressions."""
+    return F.expr(f"get(filter(array(regexp_replace(btrim(cast(`{name}` as string), '{SQL_BLANKS}'), "
+                  f"'[ \\\\t]*[\\\\r\\\\n\\\\t]+[ \\\\t]*', ' ')), t -> t != ''), 0)")
+
+
+SQL_BLANKS = r" \t\n\r\u000c\u000b\u00a0\ufeff"
+
+
+def field_text(name: str, kind: str, dtype: T.DataType) -> Column:
+    """``typed_value`` of a named column."""
+    if kind not in (DATE, NUMBER) and isinstance(dtype, T.StringType):
+        return F.expr(f"nullif(btrim(`{name}`, '{SQL_BLANKS}'), '')")
+    return typed_value(F.col(name), kind, dtype)
+
+
+def some_present(names: list[str]) -> Column:
+    """Whether any of the named cells holds something."""
+    return F.expr("coalesce(" + ", ".join(f"nullif(btrim(cast(`{n}` as string), '{SQL_BLANKS}'), '')" for n in names) + ") is not null")
+
+
 def segment_sheet(df: DataFrame, fmt: Format, tag: str) -> DataFrame:
     """One input table per segment: columns named by field key, plus ``ac_no`` (or each row on its own),
     ``flag`` (or the layout's) and ``row_no``.  Rows whose bound cells are all blank are dropped."""
     seg = fmt.segment(tag)
     types = {f.name: f.dataType for f in df.schema.fields}
     bound = [f for f in seg.fields if f.key in types]
-    given = {f.key: typed_value(F.col(f.key), f.kind, types[f.key]) for f in bound}
-    present = F.coalesce(*[clean(F.col(f.key).cast("string")) for f in bound],
-                         *([clean(F.col("ac_no").cast("string"))] if "ac_no" in types else []))
+    given = {f.key: field_text(f.key, f.kind, types[f.key]) for f in bound}
+    present = some_present([*[f.key for f in bound], *(["ac_no"] if "ac_no" in types else [])])
     flag = F.col("flag").try_cast("int") if "flag" in types else F.lit(None).cast("int")
     ac_no = F.coalesce(clean(F.col("ac_no").cast("string")), F.lit("")) if "ac_no" in types \
         else F.concat(F.lit("row"), F.col("row_no"))
     ord_ = fmt.body.index(seg)
-    return df.filter(present.isNotNull()).select(
+    return df.filter(present).select(
         "submission_id", ac_no.alias("ac_no"), F.col("row_no").cast("bigint").alias("row_no"),
         F.lit(tag).alias("tag"), F.lit(seg.sheet or tag).alias("sheet"),
         F.coalesce(flag, F.lit(seg.flag)).alias("flag"), F.lit(ord_).alias("spec_ord"),
@@ -118,8 +141,8 @@ def flat_records(df: DataFrame, fmt: Format) -> DataFrame:
     seg = fmt.body[0]
     types = {f.name: f.dataType for f in df.schema.fields}
     bound = [f for f in seg.fields if f.key in types]
-    given = {f.key: typed_value(F.col(f.key), f.kind, types[f.key]) for f in bound}
-    rows = df.filter(F.coalesce(*[clean(F.col(f.key).cast("string")) for f in bound]).isNotNull())
+    given = {f.key: field_text(f.key, f.kind, types[f.key]) for f in bound}
+    rows = df.filter(some_present([f.key for f in bound]))
     return spread(rows, F.array(segment(fmt, seg.tag, given)))
 
 
@@ -143,4 +166,4 @@ def input_text(df: DataFrame, key: str) -> Column:
         return F.date_format(F.col(key), "ddMMyyyy")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return number_text(F.col(key).cast("string"))
-    return fold_breaks(clean(F.col(key).cast("string")))
+    return cell_text(key)

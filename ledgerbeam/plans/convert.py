@@ -68,6 +68,8 @@ def convert_batch(segments: DataFrame, meta: DataFrame, fmt: Format, *, emit_wit
     if written_cut:
         checked = cut(checked, "checked")
     issues = all_issues(checked, meta, fmt, lineage)
+    if written_cut:
+        issues = cut(issues, "issues")
     gated = gate(meta, issues, emit_with_errors)
     passing = gated.filter("passes").select("submission_id")
     counts = file_counts(checked, fmt)
