@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, label_text
+from ..functions.text import clean, label_text, let
 from ..specs.commercial import GUARANTOR_KEYS
 
 # Sub-header test and the input it feeds; the first test that holds wins.
@@ -36,11 +36,12 @@ contact > contact
 
 
 def header_input(header: Column) -> Column:
-    h = label_text(header)
-    out = F.when(h.rlike(HEADER_TESTS[0][0]), HEADER_TESTS[0][1])
-    for pattern, key in HEADER_TESTS[1:]:
-        out = out.when(h.rlike(pattern), key)
-    return out
+    def first_test(h: Column) -> Column:
+        out = F.when(h.rlike(HEADER_TESTS[0][0]), HEADER_TESTS[0][1])
+        for pattern, key in HEADER_TESTS[1:]:
+            out = out.when(h.rlike(pattern), key)
+        return out
+    return let(label_text(header), first_test)
 
 
 def guarantor_blocks(raw_cells: Column) -> Column:
@@ -48,19 +49,23 @@ def guarantor_blocks(raw_cells: Column) -> Column:
 
     A 'Guarantor Type' header starts a block that runs to the next one or to the end of the row; a header
     repeated inside a block takes its last cell."""
-    cells = F.transform(F.array_sort(raw_cells), lambda c: F.struct(
-        c["col"].alias("col"), header_input(c["header"]).alias("key"), clean(c["value"]).alias("value")))
-    starts = F.transform(F.filter(cells, lambda c: c["key"] == "type"), lambda c: c["col"])
+    def blocks(cells: Column) -> Column:
+        starts = F.transform(F.filter(cells, lambda c: c["key"] == "type"), lambda c: c["col"])
+        return let(starts, lambda at: F.transform(at, lambda start, i: let(
+            F.filter(cells, lambda c: (c["col"] >= start) & F.coalesce(c["col"] < F.get(at, i + 1), F.lit(True))), _block)))
 
-    def block(start: Column, i: Column) -> Column:
-        after = F.get(starts, i + 1)
-        inside = F.filter(cells, lambda c: (c["col"] >= start) & (after.isNull() | (c["col"] < after)))
+    return let(F.transform(F.array_sort(raw_cells), lambda c: F.struct(
+        c["col"].alias("col"), header_input(c["header"]).alias("key"), clean(c["value"]).alias("value"))), blocks)
 
-        def pick(key: str) -> Column:
-            return F.try_element_at(F.filter(inside, lambda c: c["key"] == key), F.lit(-1))["value"].alias(key)
-        return F.struct(*[pick(k) for k in GUARANTOR_KEYS])
 
-    return F.transform(starts, block)
+def _has_key(key: str):
+    return lambda c: c["key"] == key
+
+
+def _block(cells: Column) -> Column:
+    return F.struct(*[
+        F.try_element_at(F.filter(cells, _has_key(key)), F.lit(-1))["value"].alias(key)
+        for key in GUARANTOR_KEYS])
 
 
 def unpivot_guarantors(cells: DataFrame) -> DataFrame:

@@ -74,6 +74,12 @@ def _rule(df: DataFrame, rule: str) -> DataFrame:
     return df.filter(F.col("rule") == rule).select("submission_id", "tag", "ac_no", "row_number", "field_key", "severity", "value")
 
 
+def _mapped(book: DataFrame, format_id: str = "commercial-ucrf-flat-v310") -> DataFrame:
+    """Mapped Master-Sheet rows, written once: filters on top of the mapping would make the optimizer derive
+    constraints from its large expressions."""
+    return cut(explode_book(book, get_format(format_id)), "mapped")
+
+
 # ---- whole conversions -------------------------------------------------------------------------------------
 
 
@@ -92,7 +98,7 @@ def master_sheet_records(spark, sf):
 @query
 def master_sheet_v39_records(spark, sf):
     fmt = get_format("commercial-ucrf-flat")
-    seg = explode_book(B.loans(spark, sf), fmt).filter("tag in ('CR', 'SS')")
+    seg = _mapped(B.loans(spark, sf), fmt.id).filter("tag in ('CR', 'SS')")
     return seg.select("submission_id", "row_no", "tag", encode.encode_rows(fmt, F.col("values")).alias("record"))
 
 
@@ -498,14 +504,14 @@ def printable_text(spark, sf):
 @query
 def dual_emission(spark, sf):
     fmt = get_format("commercial-ucrf-flat-v310")
-    seg = explode_book(B.loans(spark, sf).drop("address"), fmt).filter("tag = 'AS'")
+    seg = _mapped(B.loans(spark, sf).drop("address")).filter("tag = 'AS'")
     return seg.select("row_no", "seq", value(fmt.segment("AS"), "officeLocationType").alias("location"))
 
 
 @query
 def facility_fields(spark, sf):
     fmt = get_format("commercial-ucrf-flat-v310")
-    cr = as_columns(explode_book(B.loans(spark, sf), fmt), fmt.segment("CR"))
+    cr = as_columns(_mapped(B.loans(spark, sf)), fmt.segment("CR"))
     return cr.select("submission_id", "row_no", "accountNumber", "sanctionDate", "sanctionedAmount", "creditType", "repaymentFrequency",
                      "drawingPower", "currentBalance", "assetClassification", "amountOverdue", "accountStatus",
                      "wilfulDefaultStatus", "wilfulDefaultDate", "suitFiledStatus")
@@ -514,21 +520,20 @@ def facility_fields(spark, sf):
 @query
 def related_person_fields(spark, sf):
     fmt = get_format("commercial-ucrf-flat-v310")
-    rs = as_columns(explode_book(B.customers(spark, sf).withColumnRenamed("k", "row_no"), fmt), fmt.segment("RS"))
+    rs = as_columns(_mapped(B.customers(spark, sf).withColumnRenamed("k", "row_no")), fmt.segment("RS"))
     return rs.select("row_no", "relatedType", "relationship", "namePrefix", "fullName", "gender", "dateOfBirth", "rsPan", "rsAddressLine1")
 
 
 @query
 def guarantor_fields(spark, sf):
     fmt = get_format("commercial-ucrf-flat-v310")
-    gs = as_columns(explode_book(B.master_book(spark, sf), fmt), fmt.segment("GS"))
+    gs = as_columns(_mapped(B.master_book(spark, sf)), fmt.segment("GS"))
     return gs.select("row_no", "gsFullName", "gsRelatedType", "gsNamePrefix", "gsGender", "gsDateOfBirth", "gsPan", "gsAddressLine1")
 
 
 @query
 def same_person_conflict(spark, sf):
-    fmt = get_format("commercial-ucrf-flat-v310")
-    seg = explode_book(B.master_book(spark, sf), fmt).filter("tag = 'GS'")
+    seg = _mapped(B.master_book(spark, sf)).filter("tag = 'GS'")
     n = seg.select("row_no", "seq", F.explode("notes").alias("n")).filter(
         "n.field_key = 'relatedDob' or n.message like '%two addresses differ%'")
     return n.select("row_no", "seq", F.col("n.field_key").alias("field_key"))

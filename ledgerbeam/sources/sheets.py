@@ -214,11 +214,11 @@ def lineage(cells: DataFrame, spec: FlatSheet) -> DataFrame:
     bound = bind_columns(cells, spec).withColumn("letter", column_letter(F.col("col_no")))
     maps = bound.groupBy("submission_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "letter"))).alias("m"))
     derived = F.array(*[
-        F.struct(F.lit(wire).alias("key"), F.coalesce(*[F.try_element_at("m", F.lit(k)) for k in keys]).alias("letter"))
+        F.struct(F.lit(wire).alias("key"), F.coalesce(*[F.try_element_at("m", F.lit(k)) for k in keys]).alias("value"))
         for wire, keys in spec.sources.items()]) if spec.sources else None
     if derived is None:
         return maps.withColumnRenamed("m", "source_columns")
-    extra = F.filter(derived, lambda d: d["letter"].isNotNull())
+    extra = F.filter(derived, lambda d: d["value"].isNotNull())
     plain = F.filter(F.map_entries("m"), lambda e: ~F.exists(extra, lambda d: d["key"] == e["key"]))
     return maps.select("submission_id", F.map_from_entries(F.concat(plain, extra)).alias("source_columns"))
 

@@ -101,10 +101,10 @@ _COUNTS = """counts as (select submission_id, count(distinct ac_no) as borrower_
 _CYCLE = "case when day(x) = day(last_day(x)) then 'ME' when day(x) <= 9 then 'W1' when day(x) <= 16 then 'W2' when day(x) <= 23 then 'W3' else 'ME' end"
 
 FLAGSHIP = "with " + GATE + ", " + _COUNTS + """, out as (
-  select submission_id, 0 as band, '' as ac_no, 0 as flag, 'HD' as tag, 'HD|' || member_id || '||' || strftime(creation, '%d%m%Y') || '|' || strftime(reporting, '%d%m%Y') || '|01|' as record from meta
-  union all select submission_id, 1, ac_no, flag, tag, record from rec
-  union all select submission_id, 2, '', 0, 'TS', 'TS|' || borrower_count || '|' || account_count || '|' from counts)
-select out.* from out join gated using (submission_id) where passes"""
+  select submission_id, 0 as band, '' as ac_no, 0 as flag, 0 as row_no, 'HD' as tag, 'HD|' || member_id || '||' || strftime(creation, '%d%m%Y') || '|' || strftime(reporting, '%d%m%Y') || '|01|' as record from meta
+  union all select submission_id, 1, ac_no, flag, row_no, tag, record from rec
+  union all select submission_id, 2, '', 0, 0, 'TS', 'TS|' || borrower_count || '|' || account_count || '|' from counts)
+select out.* exclude (row_no) from out join gated using (submission_id) where passes"""
 
 
 def _rule(rule: str, base: str = ISSUES) -> str:
@@ -226,8 +226,8 @@ ORACLES: dict[str, str] = {
     "gate_decisions": f"with {GATE} select * from gated",
     "run_outcomes": f"with {GATE} select submission_id, errors, warnings, coalesce(f, 0) as failed_rules, case when ok then 'success' when passes then 'bypassed' else 'errors' end as outcome from gated "
                     "left join (select submission_id, count(distinct rule || '/' || field_key || '/' || sheet) as f from issues group by 1) using (submission_id)",
-    "record_preview": FLAGSHIP.replace("select out.* from out join gated using (submission_id) where passes",
-        ", placed as (select out.submission_id, record, row_number() over (partition by out.submission_id order by band, first_row, flag, record) as line_no from out join gated using (submission_id) left join firsts using (submission_id, ac_no) where passes) "
+    "record_preview": FLAGSHIP.replace("select out.* exclude (row_no) from out join gated using (submission_id) where passes",
+        ", placed as (select out.submission_id, record, row_number() over (partition by out.submission_id order by band, first_row, flag, row_no) as line_no from out join gated using (submission_id) left join firsts using (submission_id, ac_no) where passes) "
         "select submission_id, line_no, case when length(record) > 40 then substr(record, 1, 39) || chr(8230) else record end as line from placed where line_no <= 5"),
     "mandatory_blank": _rule("mandatory"),
     "enum_violations": _rule("enum") + f""" union all select * from (with {LOANS} select submission_id, 'CNSCRD', 'M' || k, k, 'gender', 'error', 'X' from cust where k % 3 = 2
@@ -315,6 +315,17 @@ ORACLES: dict[str, str] = {
     "encode_concatenated": "with " + FORM + f" select submission_id, row_no, {_FLAT_REC.format(chr(39) + 'RAW1' + chr(39))} as record from form",
 }
 
+# Guarantors of the first two lines of an order, in block order.
+_GTOR = LOANS + f""", gl as (select l_orderkey as row_no, l_linenumber as n, max(l_suppkey) as s from lineitem where l_linenumber <= 2 group by all),
+  gt as (select loans.*, s, n, s_name, row_number() over (partition by row_no order by n) - 1 as seq, case when row_no % 3 = 0 then relatedPan end as gpan,
+    'Shop ' || s || ', ' || {_city('s')} || ', ' || {_state('s')} || ' ' || {_pin('s')} as gaddr from gl join loans using (row_no) join supplier on s = s_suppkey)"""
+ORACLES |= {
+    "guarantor_fields": f"""with {_GTOR} select row_no, s_name as gsFullName, case when s % 2 = 0 then '2' else '1' end as gsRelatedType, case when s % 2 = 0 then 'MS' else '' end as gsNamePrefix,
+        case when s % 2 = 0 then '02' else '' end as gsGender, case when s % 2 = 0 then '02011970' else '' end as gsDateOfBirth, coalesce(gpan, '') as gsPan, gaddr as gsAddressLine1 from gt""",
+    "same_person_conflict": f"""with {_GTOR} select row_no, seq, 'gsAddressLine1' as field_key from gt where gpan is not null
+        union all select row_no, seq, 'relatedDob' from gt where gpan is not null and s % 2 = 0""",
+}
+
 # ---- reconciliation ----------------------------------------------------------------------------------------
 
 _FILES = """g as (select 'S' || (o_custkey % 5) as submission_id, o_orderkey as ord, 'CR|' || o_orderkey || '|' || round(o_totalprice * 100)::bigint || '|INR' as line from orders),
