@@ -11,6 +11,7 @@ SETTINGS = {
     # Plans here are large; recording a Python call site per expression slows building them several times over.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
