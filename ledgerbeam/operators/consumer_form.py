@@ -11,7 +11,7 @@ from ..functions.dates import sheet_date_text, typed_date_text
 from ..functions.text import address_chunks, clean, name_parts
 from ..specs import consumer as C
 from .partitioning import by_submission, small_enough
-from .segments import input_text, note, notes, segment, spread
+from .segments import input_text, note, notes, segment, some_present, spread
 
 
 def explode_form(form: DataFrame, meta: DataFrame, keep_empty_email: bool = False) -> DataFrame:
@@ -31,8 +31,7 @@ def explode_form(form: DataFrame, meta: DataFrame, keep_empty_email: bool = Fals
         elif k in amounts:
             c = number_text(c)
         cols.append(c.alias(k))
-    rows = form.select("submission_id", F.col("row_no").cast("bigint").alias("row_no"), *cols)
-    rows = rows.filter(F.coalesce(*[F.col(k) for k in keys]).isNotNull())
+    rows = form.filter(some_present(keys)).select("submission_id", F.col("row_no").cast("bigint").alias("row_no"), *cols)
     who = meta.select("submission_id", clean(F.col("member_id")).alias("_member"),
                       clean(F.col("member_short_name")).alias("_short"))
     rows = by_submission(rows, who, small_enough(meta.select("submission_id")), ("row_no",), "left")
@@ -69,4 +68,4 @@ def explode_form(form: DataFrame, meta: DataFrame, keep_empty_email: bool = Fals
         note("rateOfInterest", F.when(col("rateOfInterest").isNull(), F.lit(
             'Mandatory field "Rate of Interest" (Column BG) is blank; give the sanctioned rate.')))))
     es = segment(fmt, "ES", {})
-    return spread(rows, F.array_compact(F.array(pn, id_, pt, ec, pa, tl, es)))
+    return spread(rows, F.array(pn, id_, pt, ec, pa, tl, es))

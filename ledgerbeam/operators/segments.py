@@ -30,7 +30,8 @@ def note(field_key: str, message: Column, severity: str = "error", rule: str = "
 
 
 def notes(*items: Column) -> Column:
-    return F.array_compact(F.array(*items)).cast(NOTE_TYPE) if items else F.array().cast(NOTE_TYPE)
+    """Findings of one segment; NULL entries are dropped by ``spread``, so that building them stays compiled."""
+    return F.array(*items).cast(NOTE_TYPE)
 
 
 def values_of(seg: Segment, given: Mapping[str, Column]) -> Column:
@@ -59,16 +60,19 @@ def segment(fmt: Format, tag: str, given: Mapping[str, Column], seq: int | Colum
 def spread(rows: DataFrame, segments: Column) -> DataFrame:
     """Array of segment structs per source row to the envelope; the row is the borrower.
 
-    ``borrower_tags`` (on the first segment only) lets borrower-level rules run without a shuffle.  Every row has
+    Absent segments are NULL entries.  ``borrower_tags`` (on the first segment only) lets borrower-level rules run without a shuffle.  Every row has
     at least one segment; the outer form keeps the optimizer from pushing a size test on the whole mapping
     below the projections that build it."""
-    tags = F.transform(F.col("segs"), lambda s: s["tag"])
+    present = F.array_compact("raw")
     return (
         rows.select("submission_id", F.concat(F.lit("r"), F.col("row_no")).alias("ac_no"),
-                    F.col("row_no").cast("bigint").alias("row_no"), segments.alias("segs"))
-        .select("submission_id", "ac_no", "row_no", tags.alias("all_tags"), F.posexplode_outer("segs").alias("pos", "s"))
+                    F.col("row_no").cast("bigint").alias("row_no"), segments.alias("raw"))
+        # Two uses of ``raw`` keep it a compiled projection of its own: functions over arrays interpret what they wrap.
+        .select("submission_id", "ac_no", "row_no", present.alias("segs"),
+                F.transform(present, lambda s: s["tag"]).alias("all_tags"))
+        .select("submission_id", "ac_no", "row_no", "all_tags", F.posexplode_outer("segs").alias("pos", "s"))
         .select("submission_id", "ac_no", "row_no", F.col("row_no").alias("first_ord"), "s.tag", "s.sheet", "s.flag",
-                "s.spec_ord", "s.seq", "s.values", "s.notes",
+                "s.spec_ord", "s.seq", "s.values", F.array_compact("s.notes").alias("notes"),
                 F.when(F.col("pos") == 0, F.col("all_tags")).alias("borrower_tags"))
     )
 

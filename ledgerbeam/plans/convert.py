@@ -42,7 +42,10 @@ def stamp_member(segments: DataFrame, meta: DataFrame, fmt: Format, small: bool)
 def checked_segments(segments: DataFrame, fmt: Format, rules: Rules = Rules()) -> DataFrame:
     """Envelope plus ``issues`` and ``record``."""
     wire = F.col("wire") if "wire" in segments.columns else F.col("values")
-    return segments.withColumn("issues", row_issues(fmt, rules)).withColumn("record", encode_rows(fmt, wire)).drop("wire", "notes")
+    raw = segments.withColumns({"raw_issues": row_issues(fmt, rules), "record": encode_rows(fmt, wire)})
+    # Several uses keep the checks a compiled projection of their own (see segments.spread).
+    issues = F.when(F.size("raw_issues") > 0, F.array_compact("raw_issues")).otherwise(F.col("raw_issues"))
+    return raw.withColumn("issues", issues).drop("wire", "notes", "raw_issues")
 
 
 def all_issues(checked: DataFrame, meta: DataFrame, fmt: Format, lineage: Mapping[str, str] | None = None) -> DataFrame:

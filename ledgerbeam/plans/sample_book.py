@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import fill_cores
+
 CITY = "element_at(array('Mumbai','Pune','Jaipur','Kochi','Hyderabad','Patna','Surat'), cast({0} % 7 + 1 as int))"
 STATE = ("element_at(array('Maharashtra','Maharashtra','Rajasthan','Kerala','Telangana','Bihar','Gujarat'), "
          "cast({0} % 7 + 1 as int))")
@@ -89,7 +91,7 @@ def loans(spark: SparkSession, sf: str) -> DataFrame:
         "case row_no % 8 when 0 then 'Primary - First Charge' when 1 then 'NA' end as securityClass",
         "date_format(d, 'ddMMyyyy') as order_day",
     )
-    return acct.join(customers(spark, sf), "k")
+    return fill_cores(acct.join(customers(spark, sf), "k"), f"{sf}/orders.parquet", "row_no")
 
 
 def master_book(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +101,6 @@ def master_book(spark: SparkSession, sf: str) -> DataFrame:
 
     def block(n: int):
         s = f"g{n}.l_suppkey"
-        where = f"concat('Shop ', {s}, ', {{0}}, {{1}} ', {{2}})"
         address = f"concat('Shop ', {s}, ', ', {CITY.format(s)}, ', ', {STATE.format(s)}, ' ', {PIN.format(s)})"
         return F.expr(f"""case when g{n} is not null then named_struct(
             'type', case when {s} % 2 = 0 then 'Individual' else '1' end,
@@ -111,7 +112,8 @@ def master_book(spark: SparkSession, sf: str) -> DataFrame:
             'pin', cast(null as string), 'mobile', cast(null as string), 'stdCode', cast(null as string),
             'landline', cast(null as string), 'contact', cast(null as string)) end""")
 
-    return book.withColumn("guarantors", F.array_compact(F.array(block(1), block(2)))).drop("g1", "g2")
+    book = book.withColumn("guarantors", F.array_compact(F.array(block(1), block(2)))).drop("g1", "g2")
+    return fill_cores(book, f"{sf}/orders.parquet", "row_no")
 
 
 def submissions(spark: SparkSession, sf: str) -> DataFrame:
