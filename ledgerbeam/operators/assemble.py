@@ -95,22 +95,23 @@ def glue_headers(rows: DataFrame, headers: DataFrame, small: bool) -> DataFrame:
     return by_submission(rows, first, small, ORDER, "left").withColumn("record", glued).select(*rows.columns)
 
 
-def physical_text(fmt: Format) -> Column:
-    """A record with the line ends around it: the concatenation over a submission is the file."""
-    before = F.lit("" if fmt.one_physical_line else fmt.line_end)
-    opening = (F.col("band") == 0) if not fmt.glue_header else F.col("opens")
-    after = fmt.line_end if fmt.one_physical_line or fmt.final_line_end else ""
-    last = F.when(F.col("band") == 2, F.lit(after)).otherwise(F.lit(""))
-    return F.concat(F.when(opening, F.lit("")).otherwise(before), F.col("record"), last)
+def physical_text(fmt: Format, last: Column) -> Column:
+    """A record with its line end: the concatenation over a submission is the file.  Line ends follow their
+    record, so a file cut between any two records still consists of whole lines."""
+    between = "" if fmt.one_physical_line else fmt.line_end
+    final = fmt.line_end if fmt.one_physical_line or fmt.final_line_end else ""
+    return F.concat(F.col("record"), F.when(last, F.lit(final)).otherwise(F.lit(between)))
 
 
 def physical_records(records: DataFrame, fmt: Format, small: bool = True) -> DataFrame:
     """(submission_id, order…, text): text pieces whose concatenation in order is the file."""
-    if fmt.glue_header:
+    last = F.col("band") == 2
+    if fmt.trailer is None:
         place = F.struct(*RECORD_ORDER)
-        first = records.groupBy("submission_id").agg(F.min(place).alias("_first"))
-        records = by_submission(records, first, small, ORDER, "left").withColumn("opens", place == F.col("_first"))
-    return records.select("submission_id", *RECORD_ORDER, physical_text(fmt).alias("text"))
+        ends = records.groupBy("submission_id").agg(F.max(place).alias("_last"))
+        records = by_submission(records, ends, small, ORDER, "left")
+        last = place == F.col("_last")
+    return records.select("submission_id", *RECORD_ORDER, physical_text(fmt, last).alias("text"))
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
