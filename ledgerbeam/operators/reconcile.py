@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, printable
+from ..functions.text import printable
 from .partitioning import in_blocks, running
 
 MAX_DIFFS, RADIUS = 50, 24
