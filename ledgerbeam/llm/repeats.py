@@ -57,33 +57,36 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return least if have == width else np.minimum(least[: len(values) - width + 1], least[width - have :][: len(values) - width + 1])
 
 
-def segments(symbols: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first window (counted from the row's first symbol), number of windows and least digest of every segment."""
+def segments(symbols: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first window (counted from the row's first symbol), number of windows and least digest of every segment, and at how
+    many places its windows have that digest first: windows of one segment are equal only if they are more than one."""
     if len(symbols) < window:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    least = sliding_least(gram_digests(symbols, gram), window - gram + 1)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+    digests = gram_digests(symbols, gram)
+    least = sliding_least(digests, window - gram + 1)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[: len(least)]
     inside = np.arange(len(least)) + window <= rows[row + 1]
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new & inside)
     stop = np.flatnonzero((np.append(new[1:], True) | np.append(~inside[1:], True)) & inside) + 1
-    return row[at], at - rows[row[at]], stop - at, least[at]
+    moves = np.append(0, np.cumsum(digests[: len(least)] == least))  # the window after has it first at another place
+    return row[at], at - rows[row[at]], stop - at, 1 + moves[stop - 1] - moves[at], least[at]
 
 
 def _cut(kind: Kind, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "body"):
             symbols, rows, starts, ends = kind.symbols(data, offsets)
-            row, first, count, least = segments(symbols, rows, kind.window, gram)
+            row, first, count, places, least = segments(symbols, rows, kind.window, gram)
             if not len(row):
                 continue
             low, high = rows[row] + first, rows[row] + first + count + kind.window - 1
             # the digest of a segment is one of its symbols, so that other white space makes no other segment
             sid = run_digests(symbols, low, high)
             ids = [batch.column(c).take(pa.array(row)) for c in (*KEY, "copies")]
-            yield pa.record_batch([*ids, pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(least.view(np.int64)), pa.array(sid.view(np.int64))],
-                                  [*KEY, "copies", "first", "n", "least", "sid"])
+            yield pa.record_batch([*ids, pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(places, pa.int32()), pa.array(least.view(np.int64)), pa.array(sid.view(np.int64))],
+                                  [*KEY, "copies", "first", "n", "places", "least", "sid"])
     return run
 
 
@@ -175,18 +178,18 @@ def repeated_windows(texts: DataFrame, kind: Kind, decide: Callable, scratch: Sc
     """(pid, pid2, first, n) of `texts` (pid, pid2, copies, body): stretches of windows that stand at two places or more."""
     spark, name = texts.sparkSession, f"level{level}"
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "pid long, pid2 int, copies long, first int, n int, least long, sid long"
+    schema = "pid long, pid2 int, copies long, first int, n int, places int, least long, sid long"
     cuts = scratch.cut(texts.mapInArrow(_cut(kind, kind.grams[level]), schema), f"{name}-cuts")
-    shared = cuts.groupBy("least").agg(F.sum("copies").alias("c")).where("c > 1").select("least")
+    shared = cuts.groupBy("least").agg(F.sum(F.col("copies") * F.col("places")).alias("c")).where("c > 1").select("least")
     met = scratch.cut(cuts.join(shared, "least"), f"{name}-met")
     scratch.drop(f"{name}-cuts")
-    kinds = met.groupBy("least", "sid").agg(F.sum("copies").alias("copies"), F.min(F.struct(*KEY, "first", "n")).alias("where"))
+    kinds = met.groupBy("least", "sid").agg(F.sum("copies").alias("copies"), F.max("places").alias("places"), F.min(F.struct(*KEY, "first", "n")).alias("where"))
     kinds = scratch.cut(kinds, f"{name}-kinds")
-    groups = kinds.groupBy("least").agg(F.count("*").alias("different"))
-    alone = kinds.join(groups.where("different = 1").select("least"), "least").where("copies > 1")
+    groups = kinds.groupBy("least").agg(F.count("*").alias("different"), (F.max("places") > 1).alias("within"))
+    alone = kinds.join(groups.where("different = 1 and not within").select("least"), "least").where("copies > 1")
     alone = alone.select("least", "sid", F.lit(0).alias("first"), F.col("where.n").alias("n"))
     last = level + 1 == len(kind.grams)
-    some = kinds.join(groups.where("different > 1"), "least")
+    some = kinds.join(groups.where("different > 1 or within").select("least"), "least")
     wanted = some.groupBy(*[F.col(f"where.{c}").alias(c) for c in KEY]).agg(F.collect_list(F.struct("least", "sid", "copies", "where.first", "where.n")).alias("wanted"))
     wanted = wanted.join(texts.select(*KEY, "body").dropDuplicates(KEY) if level else texts.select(*KEY, "body"), KEY)
     bodies = wanted.select("body", "wanted").mapInArrow(_bodies(kind), "least long, sid long, copies long, body binary")
