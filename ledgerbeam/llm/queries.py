@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_repeats, decontaminate, jaccard, line_crf, word_repeats
+from . import bpe, byte_repeats, decontaminate, jaccard, licences, line_crf, quality_rank, tool_calls, toxicity, word_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,11 +61,50 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.character_model(docs)
+    evidence = toxicity.learn_evidence(docs, table(spark, sf_dir, "labels").where(fold(4) != 2), model, "doc_id", "text", "toxic")
+    done = toxicity.score_texts(docs, model, evidence)
+    return done.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text_sha256", "license_id", F.size("notices").cast("long").alias("n_notices"), F.concat_ws(",", "notices").alias("notices"))
+
+
 @query
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op6_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranking = quality_rank.fit_ranking(docs, table(spark, sf_dir, "labels").where(fold(5) != 0), "doc_id", "text", "quality")
+    return quality_rank.rank(docs, ranking).select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+#: What the calls made of conversation turns may hold.
+SCHEMAS = (("answer", "limit", "integer", True), ("answer", "text", "string", True), ("answer", "urgent", "boolean", False), ("instruct", "text", "string", True))
+
+
+@query
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User and system turns are calls, which come after the turn two before; an assistant turn is the result of the turn before it."""
+    turns = table(spark, sf_dir, "conversations")
+    at = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
+    asked = F.to_json(F.struct(F.coalesce(F.length("text"), F.lit(0)).alias("limit"), "text", F.contains("text", F.lit("!")).alias("urgent")))
+    calls = turns.where("role in ('user', 'system')").select(at(0).alias("call_id"), at(2).alias("after"), F.when(F.col("role") == "user", "answer").otherwise("instruct").alias("tool"),
+                                                           F.when(F.col("role") == "user", asked).otherwise(F.to_json(F.struct("text"))).alias("arguments"))
+    results = turns.where("role = 'assistant'").select(at(1).alias("call_id"), F.col("text").alias("content"))
+    done = tool_calls.link_calls(calls, results, spark.createDataFrame(list(SCHEMAS), "tool string, field string, type string, required boolean"))
+    return done.select("call_id", "n_calls", "n_results", "step", "valid", "json")
+
+
 @query
 def op8_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = byte_repeats.remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -110,6 +149,35 @@ select c.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
 from cut c left join hit using (doc_id) left join named using (doc_id)
 """
 
+ORACLES["op4_licences"] = (r"""
+with known as (select * from (values """ + ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in licences.KNOWN) + r""") as k(license_id, text)),
+texts as (select 0 as known, doc_id, cast(null as varchar) as license_id, coalesce(text, '') as text from documents union all select 1, null, license_id, text from known),
+a as (select known, doc_id, license_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from texts),
+b as (select known, doc_id, license_id, regexp_replace(t, '(?m)^[ \t#*/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*', '', 'g') as t from a),
+c as (select known, doc_id, license_id, regexp_replace(replace(replace(replace(t, 'licence', 'license'), 'sub-license', 'sublicense'), 'non-commercial', 'noncommercial'), 'copyright (?:owner|holder)s?', 'copyright holder', 'g') as t from b),
+d as (select known, doc_id, license_id, regexp_replace(regexp_replace(regexp_replace(t, 'https?://', 'http ', 'g'), '[^\p{L}\p{N}\n]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g') as t from c),
+form as (select *, sha256(trim(replace(t, chr(10), ' '))) as sha from d),
+sure as (select sha, min(license_id) as license_id from form where known = 1 group by sha),
+line as (select doc_id, sha256(trim(unnest(string_split(t, chr(10))))) as sha from form where known = 0),
+named as (select doc_id, count(distinct license_id) as n, string_agg(distinct license_id, ',' order by license_id) as ids from line join sure using (sha) group by doc_id)
+select f.doc_id, f.sha as text_sha256, s.license_id, coalesce(n, 0)::bigint as n_notices, coalesce(ids, '') as notices
+from form f left join sure s on f.sha = s.sha left join named m on f.doc_id = m.doc_id where known = 0
+""")
+
+ORACLES["op7_tool_calls"] = r"""
+with recursive calls as (
+  select conv_id, turn, conv_id || ':' || turn as call_id, conv_id || ':' || (turn - 2) as after, case role when 'user' then 'answer' else 'instruct' end as tool,
+    case role when 'user' then json_object('limit', length(text), 'text', text, 'urgent', contains(text, '!')) else json_object('text', text) end as arguments
+  from conversations where role in ('user', 'system')),
+depth as (
+  select c.call_id, c.conv_id, c.turn, 0 as step from calls c where not exists (select 1 from calls p where p.call_id = c.after)
+  union all select c.call_id, c.conv_id, c.turn, d.step + 1 from calls c join depth d on c.after = d.call_id),
+answers as (select conv_id || ':' || (turn - 1) as call_id, text from conversations where role = 'assistant')
+select c.call_id, 1::bigint as n_calls, (case when a.call_id is null then 0 else 1 end)::bigint as n_results, d.step::bigint as step, true as valid,
+  json_object('after', c.after, 'arguments', c.arguments, 'id', c.call_id, 'result', a.text, 'step', d.step, 'tool', c.tool, 'valid', true)::varchar as json
+from calls c join depth d using (call_id) left join answers a using (call_id)
+"""
+
 ORACLES["op9_word_repeats"] = r"""
 with cut as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 grams as (select doc_id, p, array_to_string(ws[p : p + 34], ' ') as gram from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as p from cut where len(ws) >= 35)),
