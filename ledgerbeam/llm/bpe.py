@@ -36,7 +36,7 @@ from .symbols import slices, span_digests
 #: Words of the lexicon at most: all that are as frequent as the rarest that still fit.
 LEXICON_WORDS = 200_000
 #: Words a task remembers; then it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Longer words are merged one by one.
 TOGETHER = 48
 NO_MERGE = 1 << 40

@@ -1,12 +1,12 @@
 """N-gram Jaccard join: links texts whose sets of word shingles overlap by a share, and gives each its class of linked texts.
 
-Equal sets count once. Sets that may link meet by equal least digests of their shingles under `MEETINGS` orders: two sets that link
-at 0.8 miss every order with a probability under 0.2 ** 24 (2e-17), less than two of the 64-bit shingle digests are equal.
-Meetings with the same members are held once. In a meeting a signature tree is built over the sets: each node holds the OR (and
-the AND) of its sets' token bitmaps and the range of their sizes. Two trees, or a tree and itself, are gone down together; a pair
-of nodes is left when its largest possible overlap is too small for any of its sets, or when all its sets are in one class
-already. What remains is decided on the exact sets. Meetings with very many tokens are dealt as pairs of blocks over tasks, so that
-none is held whole and none is cut short. Classes of all meetings join in connected components.
+Equal sets count once. Sets that may link meet by equal pairs of least digests of their shingles, under `MEETINGS` pairs of
+orders: two sets that link at 0.8 miss all of them with a probability under 0.36 ** 30 (5e-14). Sets joined by meetings are brought
+together once, in one unit; where that would be too large, each meeting is a unit, and one with very many tokens is dealt as
+pairs of blocks over tasks, so that none is held whole and none is cut short. In a unit a signature tree is built over the sets:
+each node holds the OR (and the AND) of its sets' token bitmaps and the range of their sizes. Two trees, or a tree and itself, are
+gone down together; a pair of nodes is left when its largest possible overlap is too small for any of its sets, or when all its
+sets are in one class already. What remains is decided on the exact sets. Classes of all units join in connected components.
 
 A null text, or one without words, has an empty set and links with nothing. A text with fewer words than a shingle is one shingle.
 Repeated rows and ids are in one class; a null id is never the smallest of a class with others. Columns named like outputs go."""
@@ -24,14 +24,16 @@ from .repeats import KEY
 from .shared import Scratch, components
 from .symbols import LOWER, WHITE, gram_digests, mix, run_digests, slices, span_digests, word_bounds
 
-MEETINGS = 24
+MEETINGS = 30
+#: Least digests that must be equal in a meeting.
+TOGETHER = 2
 #: Tokens of a block of sets that one task holds, twice at most.
 BLOCK_TOKENS = 1 << 19
 BITMAP_WORDS = 32
 FAN = 8
 #: Node pairs that are looked at together.
 STEP_PAIRS = 1 << 13
-_ODD = np.random.default_rng(7).integers(1, 1 << 63, (2, MEETINGS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, (2, MEETINGS * TOGETHER), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +63,10 @@ def _sketch(size: int):
             least = np.zeros((batch.num_rows, MEETINGS), np.uint64)
             ids = np.zeros(batch.num_rows, np.uint64)
             if len(some):
-                for k in range(MEETINGS):
+                for k in range(MEETINGS * TOGETHER):
                     v = tokens * _ODD[0, k]
-                    least[some, k] = np.minimum.reduceat((v ^ v >> np.uint64(32)) * _ODD[1, k], rows[some])
+                    first = np.minimum.reduceat((v ^ v >> np.uint64(32)) * _ODD[1, k], rows[some])
+                    least[some, k // TOGETHER] = mix(least[some, k // TOGETHER] + np.uint64(k)) ^ first
                 ids[some] = mix(np.add.reduceat(mix(tokens), rows[some]) ^ counts[some].astype(np.uint64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * MEETINGS, pa.int32()), pa.array(least.ravel().view(np.int64)))
             yield pa.record_batch([*[batch.column(c) for c in (*KEY, "id")], pa.array(counts, pa.int64()), pa.array(ids.view(np.int64)), lists], [*KEY, "id", "n", "sid", "least"])
@@ -208,17 +211,25 @@ def _classes(docs: DataFrame, id_column: str, text: str, size: int, percent: int
     kind = docs.schema[id_column].dataType.simpleString()
     sketch = scratch.cut(texts.mapInArrow(_sketch(size), f"pid long, pid2 int, id {kind}, n long, sid long, least array<long>"), "sketch")
     sets = sketch.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.min(F.struct(*KEY)).alias("one"), F.max("least").alias("least"))
-    keys = scratch.cut(sets.select("sid", "n", "one", F.posexplode("least").alias("k", "v")).select("sid", "n", "one", F.xxhash64("k", "v").alias("key")), "keys")
-    meetings = keys.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("sid")).alias("like"), F.min("sid").alias("first"), F.max("sid").alias("last"), F.sum("n").alias("tokens"))
-    meetings = meetings.where("members > 1").groupBy("members", "like", "first", "last").agg(F.min("key").alias("key"), F.max("tokens").alias("tokens"))
-    meetings = meetings.select("key", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    wanted = keys.join(meetings, "key").groupBy("sid", "one").agg(F.collect_list(F.struct(F.col("key").alias("meeting"), "blocks")).alias("wanted"))
-    wanted = scratch.cut(wanted.select(F.col("one.pid").alias("pid"), F.col("one.pid2").alias("pid2"), "sid", "wanted"), "wanted")
+    keys = sets.select("sid", F.posexplode("least").alias("k", "v")).select("sid", F.xxhash64("k", "v").alias("meeting"))
+    shared = keys.groupBy("meeting").agg(F.count("*").alias("members"), F.min("sid").alias("first")).where("members > 1")
+    met = scratch.cut(keys.join(shared, "meeting"), "met")
+    near = scratch.cut(components(met.select(F.col("sid").alias("a"), F.col("first").alias("b")), scratch), "near")
+    sizes = scratch.cut(near.join(sets.select("sid", "n", "one"), F.col("node") == F.col("sid")).select("sid", "n", "one", F.col("component").alias("unit")), "sizes")
+    units = sizes.groupBy("unit").agg(F.sum("n").alias("tokens"))
+    fits = sizes.join(units.where(F.col("tokens") <= BLOCK_TOKENS).select("unit"), "unit").select("sid", "unit", F.lit(1).alias("blocks"))
+    over = sizes.join(units.where(F.col("tokens") > BLOCK_TOKENS).select("unit"), "unit").select("sid", "n")
+    over = met.select("sid", "meeting", "members", "first").join(over, "sid")
+    same = over.groupBy("meeting").agg(F.first("members").alias("members"), F.bit_xor(F.xxhash64("sid")).alias("like"), F.first("first").alias("first"), F.sum("n").alias("tokens"))
+    same = same.groupBy("members", "like", "first").agg(F.min("meeting").alias("meeting"), F.max("tokens").alias("tokens"))  # meetings of the same sets are one
+    over = over.join(same.select("meeting", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks")), "meeting").select("sid", F.col("meeting").alias("unit"), "blocks")
+    wanted = fits.union(over).groupBy("sid").agg(F.collect_list(F.struct(F.col("unit").alias("meeting"), "blocks")).alias("wanted"))  # a set has MEETINGS at most
+    wanted = wanted.join(sizes.select("sid", "one"), "sid").select(F.col("one.pid").alias("pid"), F.col("one.pid2").alias("pid2"), "sid", "wanted")
     brought = wanted.join(texts.select(*KEY, "body"), KEY).select("sid", "wanted", "body")
     brought = brought.mapInArrow(_bring(size), "meeting long, i int, j int, own int, sid long, body binary")
     links = brought.repartition(spread, "meeting", "i", "j").sortWithinPartitions("meeting", "i", "j").mapInArrow(_join(percent), "a long, b long")
     linked = components(links, scratch)
-    scratch.drop("keys", "wanted")
+    scratch.drop("met", "near", "sizes")
     rows = sketch.join(linked.withColumnRenamed("node", "sid"), "sid", "left")
     return keyed, rows.select(*KEY, "id", "n", F.when(F.col("n") > 0, F.coalesce("component", "sid")).alias("class"))
 

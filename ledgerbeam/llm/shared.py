@@ -54,11 +54,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges-0")
+    name = f"edges-{uuid.uuid4().hex}"
+    now = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
     before, k = None, 0
     while (after := state(now)) != before:
         before, k = after, k + 1
         # from here a > b: large star keeps the larger neighbours of each node, small star the smaller ones and the node
-        now = scratch.cut(star(star(now, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), f"edges-{k}")
-        scratch.drop(f"edges-{k - 1}")
+        now = scratch.cut(star(star(now, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), f"{name}-{k}")
+        scratch.drop(f"{name}-{k - 1}")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
