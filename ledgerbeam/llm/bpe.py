@@ -36,7 +36,7 @@ from .symbols import slices, span_digests
 #: Words of the lexicon at most: all that are as frequent as the rarest that still fit.
 LEXICON_WORDS = 200_000
 #: Words a task remembers; then it forgets them all.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Longer words are merged one by one.
 TOGETHER = 48
 NO_MERGE = 1 << 40
@@ -417,12 +417,12 @@ def remembered(name: str) -> Remembered:
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """`encoded` with `decoded`: the text of the ids, special tokens included. Ids that no piece has add nothing."""
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer))
+    shipped = encoded.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer).pieces)
     columns = [c for c in encoded.columns if c != "decoded"]
     schema = T.StructType([*[encoded.schema[c] for c in columns], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary.value.pieces
+        pieces = shipped.value
         piece = np.array([len(p) for p in pieces], np.int64)
         flat, begin = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(piece) - piece
         for whole in batches:

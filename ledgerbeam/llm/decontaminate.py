@@ -28,7 +28,7 @@ from .symbols import LOWER, NOT_ALNUM, slices, span_digests, spans_of, text_byte
 #: Bytes of item texts in one block, but for a longer item alone.
 BLOCK_BYTES = 4 << 20
 #: Words that are kept for the index of a shard.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 BETWEEN = NOT_ALNUM[LOWER]
 SAMPLE = 8
 

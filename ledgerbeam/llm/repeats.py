@@ -23,7 +23,7 @@ from .symbols import WHITE, byte_digests, gram_digests, run_digests, slices, spa
 #: Different segments of one digest that meet in one shard at most; beyond it the digest is cut again.
 MEET = 4000
 #: Bytes of the segments of a shard, but for the digest that passes it.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 KEY = ["pid", "pid2"]
 
 
