@@ -72,18 +72,10 @@ def by_submission(df: DataFrame, side: DataFrame, small: bool, row_key: Sequence
     return left.join(salted, ["submission_id", "_salt"], how).drop("_salt")
 
 
-# Below this input size a scan may not have a split per core.
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def fill_cores(df: DataFrame, path: str, *keys: str) -> DataFrame:
-    """Deal the rows of a small input over all cores before costly row-local work.
-
-    A small file may be one row group, hence one task.  Larger inputs have splits enough and are left alone; the
-    size comes from the file listing, contents are not read."""
-    spark = df.sparkSession
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    return df.repartition(spark.sparkContext.defaultParallelism, *keys) if size < SMALL_INPUT_BYTES else df
+def deal_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows over the session's shuffle partitions before costly row-local work, at every input size alike:
+    adaptive execution would join narrow rows into few tasks by their bytes, whatever the work on each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def in_blocks(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.partitioning import fill_cores
+from ..operators.partitioning import deal_out
 
 CITY = "element_at(array('Mumbai','Pune','Jaipur','Kochi','Hyderabad','Patna','Surat'), cast({0} % 7 + 1 as int))"
 STATE = ("element_at(array('Maharashtra','Maharashtra','Rajasthan','Kerala','Telangana','Bihar','Gujarat'), "
@@ -91,7 +91,7 @@ def loans(spark: SparkSession, sf: str) -> DataFrame:
         "case row_no % 8 when 0 then 'Primary - First Charge' when 1 then 'NA' end as securityClass",
         "date_format(d, 'ddMMyyyy') as order_day",
     )
-    return fill_cores(acct.join(customers(spark, sf), "k"), f"{sf}/orders.parquet", "row_no")
+    return deal_out(acct.join(customers(spark, sf), "k"), "row_no")
 
 
 def master_book(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +113,7 @@ def master_book(spark: SparkSession, sf: str) -> DataFrame:
             'landline', cast(null as string), 'contact', cast(null as string)) end""")
 
     book = book.withColumn("guarantors", F.array_compact(F.array(block(1), block(2)))).drop("g1", "g2")
-    return fill_cores(book, f"{sf}/orders.parquet", "row_no")
+    return deal_out(book, "row_no")
 
 
 def submissions(spark: SparkSession, sf: str) -> DataFrame:

@@ -66,14 +66,30 @@ class SubmissionFileWriter(DataSourceArrowWriter):
         return Parts(files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Puts each submission of the batch in place as a whole; parts of an earlier run never stay beside new ones, and
+        submissions that aren't in the batch are left alone.  The earlier folder goes only when the new one stands."""
         target, base = _filesystem(self.path)
-        if self.overwrite:
-            for info in target.get_file_info(fs.FileSelector(base, allow_not_found=True)):
-                if info.base_name.startswith("submission_id="):
-                    target.delete_dir(info.path)
+        staging = posixpath.join(base, f"_staging-{self.job}")
+        folders: dict[str, list[str]] = {}
         for staged, final in (f for m in messages if m for f in m.files):
-            target.create_dir(posixpath.dirname(final), recursive=True)
-            target.move(staged, final)
+            folders.setdefault(posixpath.dirname(final), []).append(staged)
+        for final, parts in folders.items():
+            ready = posixpath.join(staging, "ready", posixpath.basename(final))
+            target.create_dir(ready, recursive=True)
+            for staged in parts:
+                target.move(staged, posixpath.join(ready, posixpath.basename(staged)))
+        for final in folders:
+            earlier = posixpath.join(staging, "earlier", posixpath.basename(final))
+            there = target.get_file_info(final).type != fs.FileType.NotFound
+            if there:
+                target.create_dir(posixpath.dirname(earlier), recursive=True)
+                target.move(final, earlier)
+            try:
+                target.move(posixpath.join(staging, "ready", posixpath.basename(final)), final)
+            except OSError:
+                if there:
+                    target.move(earlier, final)
+                raise
         self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:

@@ -90,6 +90,22 @@ def test_written_file_is_byte_exact_and_reads_back(spark, done, tmp_path):
     assert sorted("|".join(r["values"]) for r in back.collect()) == sorted(lines[1:-1])
 
 
+def test_a_rerun_replaces_the_submission_and_no_other(spark, done, tmp_path):
+    def held(sid):
+        return b"".join(open(p, "rb").read() for p in sorted(glob.glob(str(tmp_path / f"again/submission_id={sid}/*"))))
+
+    path, before = str(tmp_path / "again"), spark.conf.get("spark.sql.shuffle.partitions")
+    write_submissions(done.records, FMT, path)
+    first = {s: held(s) for s in ("S1", "S2")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        write_submissions(done.records.where("submission_id = 'S1'"), FMT, path)
+        write_submissions(done.records.where("submission_id = 'S1'"), FMT, path, mode="overwrite")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert first["S1"] and {s: held(s) for s in ("S1", "S2")} == first
+
+
 def test_reconciliation_names_the_first_difference(spark, meta, done, tmp_path):
     write_submissions(done.records, FMT, str(tmp_path / "filed"))
     part = sorted(glob.glob(str(tmp_path / "filed/submission_id=S1/*")))[0]
