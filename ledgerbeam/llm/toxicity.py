@@ -5,8 +5,8 @@ a lattice holds for each character what it may stand for (itself, look-alike let
 the Viterbi path is the likeliest under a trigram model of characters counted over all texts of the corpus. All other words have
 one path only and stay as they are.
 
-The score weighs the evidence of words and of their first four to six bytes, as counted over the labelled texts given for
-learning: the strongest, the second strongest word and the sum of strong ones, joined by a logistic model.
+The score weighs the evidence of words and of their first four to six bytes, as counted over a bounded sample (`SAMPLE_ROWS`) of
+the labelled texts given for learning, which no shuffle of texts is needed for: the strongest, the second strongest word and the sum of strong ones, joined by a logistic model.
 
 A null or empty text has no evidence and scores low. Ties and repeated rows get equal scores. Without labels of both kinds nothing
 is evidence. Other columns pass through unless they are named like an output."""
@@ -28,8 +28,8 @@ from .symbols import LOWER, WHITE, mix, slices, span_digests, word_bounds
 
 #: Slots that words and beginnings of words are hashed to.
 SLOTS = 1 << 20
-#: Labelled texts of each kind that the last, logistic step is fitted on at most.
-SAMPLE_ROWS = 3000
+#: Labelled texts of each kind that evidence and the logistic step are fitted on, drawn by a digest of their id; all if there are fewer.
+SAMPLE_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 STRONG = 2.5
 #: Letters that a character may stand for, and what a change costs.
@@ -185,12 +185,14 @@ class Evidence:
 
 
 def learn_evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_column: str, text: str, label: str, smooth: float = 6.0) -> Evidence:
-    """Counts slots over all labelled texts (a text counts once in a slot); the logistic step is fitted on a bounded sample."""
-    labels = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"), F.xxhash64(F.first(id_column)).alias("_by"))
+    """Counts slots over the sample (a text counts once in a slot), then fits the logistic step on it, weighted back to the labels' shares."""
+    labels = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     totals = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
     if len(totals) < 2:
         return Evidence(np.zeros(SLOTS, np.float32), np.array([0.0, 0, 0, -5]))
-    joined = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(labels, "_id")
+    part = F.when(F.col("_label") == 1, SAMPLE_ROWS / totals[1]).otherwise(SAMPLE_ROWS / totals[0])
+    picked = labels.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < part * (1 << 30))  # about SAMPLE_ROWS of each kind, at any size
+    sample = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id").select("text", "_label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, seen = Restorer(model), np.zeros((2, SLOTS), np.int32)
@@ -202,15 +204,13 @@ def learn_evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col
         some = np.flatnonzero(seen.any(axis=0))
         yield pa.record_batch([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["slot", "clean", "toxic"])
 
-    rows = joined.mapInArrow(count, "slot long, clean int, toxic int").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # SLOTS rows at most
+    rows = sample.mapInArrow(count, "slot long, clean int, toxic int").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # SLOTS rows at most
     clean, toxic = np.zeros(SLOTS), np.zeros(SLOTS)
     clean[rows.column("slot").to_numpy()], toxic[rows.column("slot").to_numpy()] = rows.column("clean").to_numpy(), rows.column("toxic").to_numpy()
-    share = totals[1] / (totals[0] + totals[1])
-    odds = np.log((toxic + smooth * share) / (totals[1] + smooth)) - np.log((clean + smooth * (1 - share)) / (totals[0] + smooth))
-    evidence = Evidence(odds.astype(np.float32), np.zeros(4))
-
-    parts = [labels.where(F.col("_label") == v).orderBy("_by", "_id").limit(SAMPLE_ROWS) for v in (0, 1)]
-    sample = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(F.broadcast(parts[0].union(parts[1])), "_id")
+    taken = [min(SAMPLE_ROWS, totals[v]) for v in (0, 1)]
+    part = taken[1] / sum(taken)
+    odds = np.log((toxic + smooth * part) / (taken[1] + smooth)) - np.log((clean + smooth * (1 - part)) / (taken[0] + smooth))
+    evidence, share = Evidence(odds.astype(np.float32), np.zeros(4)), totals[1] / (totals[0] + totals[1])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
