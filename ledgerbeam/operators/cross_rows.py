@@ -118,3 +118,12 @@ def empty_issues(meta: DataFrame, segments: DataFrame, fmt: Format) -> DataFrame
         message=F.lit("No records found in the input; check the sheet and its column headers."),
         reference=F.lit(f"{fmt.label} v{fmt.version} input workbook layout"), tag=F.lit(""), stage=F.lit(0),
         first_ord=F.lit(0).cast("bigint"))
+
+
+def whole_file_issues(rows: DataFrame, fmt: Format, message: Column, severity: str = "error", bypassable: bool = False) -> DataFrame:
+    """Findings of a reader about a file: ``rows`` holds submission_id and, where known, sheet and row_no."""
+    return _issue_rows(
+        rows, severity=F.lit(severity), bypassable=F.lit(bypassable), sheet=F.coalesce("sheet", F.lit("")), ac_no=F.lit(""),
+        row_number=F.coalesce(F.col("row_no").cast("bigint"), F.lit(0).cast("bigint")), rule=F.lit("parse"), message=message,
+        reference=F.lit(f"{fmt.label} v{fmt.version} input workbook layout"), tag=F.lit(""), stage=F.lit(0),
+        first_ord=F.lit(0).cast("bigint"))

@@ -59,10 +59,11 @@ def all_issues(checked: DataFrame, meta: DataFrame, fmt: Format, lineage: Mappin
 
 def convert_batch(segments: DataFrame, meta: DataFrame, fmt: Format, *, emit_with_errors: bool = False,
                   overrides: DataFrame | None = None, lineage: Mapping[str, str] | None = None,
-                  rules: Rules = Rules(), written_cut: bool = True) -> Conversion:
+                  reader_issues: DataFrame | None = None, rules: Rules = Rules(), written_cut: bool = True) -> Conversion:
     """Convert every submission of a batch.
 
-    ``segments`` is an envelope (see operators.segments) and ``meta`` holds one row per submission.  The mapped,
+    ``segments`` is an envelope (see operators.segments) and ``meta`` holds one row per submission.
+    ``reader_issues`` (see sources.workbooks) count in the gate as all others do.  The mapped,
     checked and encoded rows are written once to the shared folder; counts, issues, gate and records then read
     only the columns they need from it."""
     small = small_enough(meta.select("submission_id"))
@@ -71,6 +72,8 @@ def convert_batch(segments: DataFrame, meta: DataFrame, fmt: Format, *, emit_wit
     if written_cut:
         checked = cut(checked, "checked")
     issues = all_issues(checked, meta, fmt, lineage)
+    if reader_issues is not None:
+        issues = issues.unionByName(reader_issues)
     if written_cut:
         issues = cut(issues, "issues")
     gated = gate(meta, issues, emit_with_errors)

@@ -22,10 +22,11 @@ HEADER_SCAN, FORM_SCAN, BLOCK_SCAN = 25, 200, 50
 
 
 def normal_cells(cells: DataFrame) -> DataFrame:
-    """Adds ``value``: trimmed text, numbers without exponent, dates as DDMMYYYY; blank cells are dropped."""
+    """Adds ``value``: trimmed text, numbers without exponent, dates as DDMMYYYY; blank cells and the marks of
+    unreadable workbooks are dropped."""
     text = F.when(F.col("kind") == "d", ddmmyyyy(date_from_number(F.col("raw_n")))).when(
         F.col("kind") == "n", number_text(F.col("raw_s"))).otherwise(F.btrim("raw_s", F.lit(BLANKS)))
-    return cells.withColumn("value", text).filter("value <> ''")
+    return cells.withColumn("value", text).filter("value <> '' and kind <> 'unreadable'")
 
 
 def _labels(spark: SparkSession, spec: FlatSheet) -> DataFrame:

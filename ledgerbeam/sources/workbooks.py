@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -15,12 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import column_letter
+from ..operators.cross_rows import whole_file_issues
+from ..specs.model import Format
+
 CELL_SCHEMA = ("path string, sheet string, sheet_ord int, row_no bigint, col_no int, kind string, raw_s string, "
                "raw_n double")
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _DATE_FORMATS = {14, 15, 16, 17, 22}
 _BATCH = 20_000
+UNREADABLE, NOT_A_NUMBER = "unreadable", "x"
 
 
 def _texts(node) -> str:
@@ -50,7 +56,7 @@ def _column(ref: str) -> int:
 
 def workbook_cells(content: bytes) -> Iterator[tuple]:
     """(sheet, sheet_ord, row, column, kind, text, number) of every non-empty cell; formulas give their cached
-    result.  kind: s text, n number, d date serial, b boolean."""
+    result.  kind: s text, n number, d date serial, b boolean, x text where a number should be."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
@@ -78,7 +84,10 @@ def workbook_cells(content: bytes) -> Iterator[tuple]:
                             text = "true" if text == "1" else "false"
                         elif kind == "n":
                             style = int(c.get("s") or 0)
-                            number, kind = float(text), "d" if style < len(dates) and dates[style] else "n"
+                            try:
+                                number, kind = float(text), "d" if style < len(dates) and dates[style] else "n"
+                            except ValueError:
+                                kind = NOT_A_NUMBER
                         else:
                             kind = "s"
                         yield sheet.get("name"), ord_, int(row.get("r")), _column(c.get("r")), kind, text, number
@@ -89,22 +98,50 @@ def _open(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in CELL_SCHEMA.split(", ")]
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"]):
+            fault = _fault(content)
+            if fault:
+                yield pd.DataFrame([(path, None, None, None, None, UNREADABLE, fault, None)], columns=names)
+                continue
             rows: list[tuple] = []
-            try:
-                for cell in workbook_cells(content):
-                    rows.append((path, *cell))
-                    if len(rows) == _BATCH:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError):
-                # Unreadable content: the file has no further cells and ends as an empty-input finding.
-                pass
+            for cell in workbook_cells(content):
+                rows.append((path, *cell))
+                if len(rows) == _BATCH:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
 
+def _fault(content: bytes) -> str | None:
+    """Why a workbook cannot be read to its end, or None; a pass over all cells that keeps none."""
+    try:
+        for _ in workbook_cells(content):
+            pass
+    except (zipfile.BadZipFile, zlib.error, EOFError, KeyError, TypeError, ElementTree.ParseError, ValueError, IndexError,
+            NotImplementedError, RuntimeError) as e:
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
+def unreadable_issues(cells: DataFrame, fmt: Format) -> DataFrame:
+    """One finding, which no one may let through, for each workbook that could not be read to its end.
+
+    ``cells`` is the table of read_workbook_cells; none of the cells of such a workbook are in it."""
+    text = F.concat(F.lit("The workbook is damaged and none of it was taken over ("), F.col("raw_s"), F.lit(")."))
+    return whole_file_issues(cells.filter(F.col("kind") == UNREADABLE), fmt, text)
+
+
+def odd_cell_issues(cells: DataFrame, fmt: Format) -> DataFrame:
+    """A warning for each cell that says it is a number but does not hold one; it is read as text."""
+    at = F.concat(column_letter(F.col("col_no")), F.col("row_no").cast("string"))
+    text = F.concat(F.lit("Cell "), at, F.lit(' should hold a number, it holds "'), F.col("raw_s"), F.lit('"; taken as text.'))
+    return whole_file_issues(cells.filter(F.col("kind") == NOT_A_NUMBER), fmt, text, "warning", True)
+
+
 def read_workbook_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of every .xlsx in a folder; the file name without extension is the submission."""
+    """Cells of every .xlsx in a folder; the file name without extension is the submission.
+
+    A workbook that cannot be read to its end gives one row of kind ``unreadable`` and no cell, see ``unreadable_issues``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option(
         "recursiveFileLookup", True).load(folder).select("path", "content")
     cells = files.mapInPandas(_open, CELL_SCHEMA)
