@@ -556,9 +556,10 @@ def guarantor_unpivot(spark, sf):
 @query
 def guarantor_arrays(spark, sf):
     """The same regrouping inside one row, from an array of raw cells."""
-    g = B.guarantor_columns(spark, sf).filter("g1 is not null and g2 is not null")
-    cells = F.expr("""array(struct(5 as col, 'Guarantor Type' as header, '2' as value), struct(6 as col, 'Full Name' as header, g1.s_name as value),
-        struct(7 as col, 'Guarantor Type' as header, '1' as value), struct(8 as col, 'Guarantor entity name' as header, g2.s_name as value))""")
+    g = B.guarantor_columns(spark, sf)
+    cells = F.expr("""flatten(transform(lines, (g, i) -> array(
+        struct(2 * i + 5 as col, 'Guarantor Type' as header, case when g.l_linenumber % 2 = 1 then '2' else '1' end as value),
+        struct(2 * i + 6 as col, case when g.l_linenumber % 2 = 1 then 'Full Name' else 'Guarantor entity name' end as header, g.s_name as value))))""")
     b = g.select("row_no", F.posexplode(guarantors.guarantor_blocks(cells)).alias("block", "b"))
     return b.select("row_no", "block", "b.type", "b.fullName", "b.entityName")
 

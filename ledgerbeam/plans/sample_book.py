@@ -56,11 +56,11 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def guarantor_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """Two guarantor column groups per order, from the suppliers of its first and second lines."""
-    li = table(spark, sf, "lineitem").filter("l_linenumber in (1, 2)").select("l_orderkey", "l_linenumber", "l_suppkey")
+    """An array of guarantors per order, one from the supplier of each of its lines."""
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("l_suppkey"))
     s = li.join(table(spark, sf, "supplier").select("s_suppkey", "s_name"), F.expr("l_suppkey = s_suppkey"))
-    return s.groupBy(F.col("l_orderkey").alias("row_no")).agg(*[
-        F.max(F.when(F.col("l_linenumber") == n, F.struct("l_suppkey", "s_name"))).alias(f"g{n}") for n in (1, 2)])
+    return s.groupBy(F.col("l_orderkey").alias("row_no")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "s_name"))).alias("lines"))  # the lines of one order
 
 
 def loans(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,23 +97,19 @@ def loans(spark: SparkSession, sf: str) -> DataFrame:
 def master_book(spark: SparkSession, sf: str) -> DataFrame:
     """Loans with their guarantor blocks."""
     book = loans(spark, sf).join(guarantor_columns(spark, sf), "row_no", "left")
-    city, state, pin = (t.format("s") for t in (CITY, STATE, PIN))
-
-    def block(n: int):
-        s = f"g{n}.l_suppkey"
-        address = f"concat('Shop ', {s}, ', ', {CITY.format(s)}, ', ', {STATE.format(s)}, ' ', {PIN.format(s)})"
-        return F.expr(f"""case when g{n} is not null then named_struct(
-            'type', case when {s} % 2 = 0 then 'Individual' else '1' end,
-            'entityName', case when {s} % 2 = 1 then g{n}.s_name end, 'fullName', case when {s} % 2 = 0 then g{n}.s_name end,
-            'dob', case when {s} % 2 = 0 then '02/01/1970' end, 'pan', case when row_no % 3 = 0 then relatedPan end,
-            'gender', case when {s} % 2 = 0 then 'Female' end, 'addressLine1', cast(null as string),
-            'addressLine2', cast(null as string), 'addressLine3', cast(null as string), 'address', {address},
-            'city', cast(null as string), 'district', cast(null as string), 'state', cast(null as string),
-            'pin', cast(null as string), 'mobile', cast(null as string), 'stdCode', cast(null as string),
-            'landline', cast(null as string), 'contact', cast(null as string)) end""")
-
-    book = book.withColumn("guarantors", F.array_compact(F.array(block(1), block(2)))).drop("g1", "g2")
-    return deal_out(book, "row_no")
+
+    s = "g.l_suppkey"
+    address = f"concat('Shop ', {s}, ', ', {CITY.format(s)}, ', ', {STATE.format(s)}, ' ', {PIN.format(s)})"
+    blocks = F.expr(f"""transform(lines, g -> named_struct(
+        'type', case when {s} % 2 = 0 then 'Individual' else '1' end,
+        'entityName', case when {s} % 2 = 1 then g.s_name end, 'fullName', case when {s} % 2 = 0 then g.s_name end,
+        'dob', case when {s} % 2 = 0 then '02/01/1970' end, 'pan', case when row_no % 3 = 0 then relatedPan end,
+        'gender', case when {s} % 2 = 0 then 'Female' end, 'addressLine1', cast(null as string),
+        'addressLine2', cast(null as string), 'addressLine3', cast(null as string), 'address', {address},
+        'city', cast(null as string), 'district', cast(null as string), 'state', cast(null as string),
+        'pin', cast(null as string), 'mobile', cast(null as string), 'stdCode', cast(null as string),
+        'landline', cast(null as string), 'contact', cast(null as string)))""")
+    return deal_out(book.withColumn("guarantors", blocks).drop("lines"), "row_no")
 
 
 def submissions(spark: SparkSession, sf: str) -> DataFrame:

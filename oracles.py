@@ -305,9 +305,9 @@ ORACLES: dict[str, str] = {
         case k % 4 when 0 then '01' else '02' end as gender, '01011970' as dateOfBirth, relatedPan as rsPan, relatedAddress as rsAddressLine1 from cust where k % 2 = 0""",
     "guarantor_unpivot": """select l_orderkey as row_no, row_number() over (partition by l_orderkey order by l_linenumber) as block, (s % 4 + 1)::varchar as type, s_name as entityName, 'P' || s as pan, 'Shop ' || s as address
         from (select l_orderkey, l_linenumber, max(l_suppkey) as s from lineitem group by all) join supplier on s = s_suppkey""",
-    "guarantor_arrays": """with g as (select l_orderkey as row_no, l_linenumber as n, max(l_suppkey) as s from lineitem where l_linenumber <= 2 group by all),
-        b as (select a.row_no, a.s as s1, b.s as s2 from g a join g b on a.row_no = b.row_no and a.n = 1 and b.n = 2)
-        select row_no, 0 as block, '2' as type, s_name as fullName, null::varchar as entityName from b join supplier on s1 = s_suppkey union all select row_no, 1, '1', null, s_name from b join supplier on s2 = s_suppkey""",
+    "guarantor_arrays": """with g as (select l_orderkey as row_no, l_linenumber as n, max(l_suppkey) as s from lineitem group by all)
+        select row_no, row_number() over (partition by row_no order by n) - 1 as block, case n % 2 when 1 then '2' else '1' end as type,
+          case n % 2 when 1 then s_name end as fullName, case n % 2 when 0 then s_name end as entityName from g join supplier on s = s_suppkey""",
     "encode_delimited": f"with {SHEETS} select submission_id, row_no, record from rec where tag = 'BS'",
     "encode_fixed": """with v as (select s_suppkey, 'MF' || s_suppkey as a, s_name as b, 'S01' as c, 'secret' as d, 'INHOUSE' as e from supplier union all select c_custkey, 'C' || c_custkey, c_name || ' and a very long trailing name', 'S02', '', '' from customer)
         select s_suppkey, 'HDRHMMFI1.9' || rpad(a, 10, ' ') || rpad(b, 30, ' ') || repeat(' ', 10) || '3107202605082026' || c || rpad(d, 30, ' ') || rpad(e, 30, ' ') || rpad(e, 30, ' ') || ' ' as record from v""",
@@ -315,8 +315,8 @@ ORACLES: dict[str, str] = {
     "encode_concatenated": "with " + FORM + f" select submission_id, row_no, {_FLAT_REC.format(chr(39) + 'RAW1' + chr(39))} as record from form",
 }
 
-# Guarantors of the first two lines of an order, in block order.
-_GTOR = LOANS + f""", gl as (select l_orderkey as row_no, l_linenumber as n, max(l_suppkey) as s from lineitem where l_linenumber <= 2 group by all),
+# Guarantors of all lines of an order, in block order.
+_GTOR = LOANS + f""", gl as (select l_orderkey as row_no, l_linenumber as n, max(l_suppkey) as s from lineitem group by all),
   gt as (select loans.*, s, n, s_name, row_number() over (partition by row_no order by n) - 1 as seq, case when row_no % 3 = 0 then relatedPan end as gpan,
     'Shop ' || s || ', ' || {_city('s')} || ', ' || {_state('s')} || ' ' || {_pin('s')} as gaddr from gl join loans using (row_no) join supplier on s = s_suppkey)"""
 ORACLES |= {
