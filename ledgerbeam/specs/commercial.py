@@ -34,9 +34,9 @@ companyRegNumber | Company Registration Number
 cin | CIN
 tin | TIN
 serviceTaxNo | Service Tax #
-legalConstitution | Borrowers Legal Constitution
-businessCategory | Business Category
-businessIndustryType | Business/ Industry Type
+legalConstitution | Borrowers Legal Constitution | section:8.1
+businessCategory | Business Category | section:8.2
+businessIndustryType | Business/ Industry Type | section:8.3
 classOfActivity1 | Class of Activity 1
 classOfActivity2 | Class of Activity 2
 classOfActivity3 | Class of Activity 3
@@ -45,7 +45,7 @@ salesFigure | Sales Figure | number
 financialYear | Financial Year
 numberOfEmployees | Number of Employees | number
 creditRating | Credit Rating
-assessmentAgency | Assessment Agency / Authority
+assessmentAgency | Assessment Agency / Authority | section:8.19
 creditRatingAsOn | Credit Rating As On | date
 creditRatingExpiry | Credit Rating Expiry Date | date
 otherId | Other ID
@@ -53,16 +53,16 @@ bsFiller | Filler
 """, _C, "BS"), flag=1, cardinality="one")
 
 AS = Segment("AS", layout("""
-officeLocationType | Borrower Office Location Type
+officeLocationType | Borrower Office Location Type | section:8.4
 officeDunsNumber | Borrower Office DUNS Number
 addressLine1 | Address Line 1 | req
 addressLine2 | Address Line 2
 addressLine3 | Address Line 3
 cityTown | City/Town
 district | District
-stateCode | State/Union Territory
+stateCode | State/Union Territory | section:8.5
 pinCode | Pin Code
-country | Country
+country | Country | section:8.15
 mobileNumber | Mobile Number(s)
 telAreaCode | Telephone Area Code
 telNumber | Telephone Number(s)
@@ -75,10 +75,10 @@ asFiller2 | Filler
 RS = Segment("RS", layout("""
 relationshipDuns | Relationship DUNS Number
 relatedType | Related Type
-relationship | Relationship | req
+relationship | Relationship | req section:8.6
 businessEntityName | Business Entity Name
-rsBusinessCategory | Business Category
-rsBusinessIndustryType | Business / Industry Type
+rsBusinessCategory | Business Category | section:8.2
+rsBusinessIndustryType | Business / Industry Type | section:8.3
 namePrefix | Individual Name Prefix
 fullName | Full Name
 gender | Gender | req when:rs_individual
@@ -102,9 +102,9 @@ rsAddressLine2 | Address Line 2
 rsAddressLine3 | Address Line 3
 rsCity | City/Town
 rsDistrict | District
-rsStateCode | State/Union Territory | warn
+rsStateCode | State/Union Territory | warn section:8.5
 rsPinCode | Pin Code
-rsCountry | Country
+rsCountry | Country | section:8.15
 rsMobile | Mobile Number(s)
 rsTelNumber | Telephone Number(s)
 rsTelAreaCode | Telephone Area Code
@@ -119,16 +119,16 @@ accountNumber | Account Number | req
 prevAccountNumber | Previous Account Number
 sanctionDate | Facility / Loan Activation / Sanction Date | date req
 sanctionedAmount | Sanctioned Amount/ Notional Amount of Contract | number req
-currencyCode | Currency Code | req codes:CURRENCY default:INR
-creditType | Credit Type
+currencyCode | Currency Code | req codes:CURRENCY default:INR section:8.7
+creditType | Credit Type | section:8.8
 tenure | Tenure / Weighted Average maturity period of Contracts
-repaymentFrequency | Repayment Frequency
+repaymentFrequency | Repayment Frequency | section:8.18
 drawingPower | Drawing Power | number
 currentBalance | Current Balance / Limit Utilized /Mark to Market | number
 notionalOutstanding | Notional Amount of Out-standing Restructured Contracts | number
 loanExpiryDate | Loan Expiry / Maturity Date | date
 loanRenewalDate | Loan Renewal Date | date
-assetClassification | Asset Classification/Number of days past due NDPD | req
+assetClassification | Asset Classification/Number of days past due NDPD | req section:8.9
 assetClassificationDate | Asset Classification Date | date
 amountOverdue | Amount Overdue / Limit Overdue | number
 overdueBucket01 | Overdue Bucket 01 ( 1 - 30 days) | number
@@ -139,18 +139,18 @@ overdueBucket05 | Overdue Bucket 05 (Above 180 days) | number
 highCredit | High Credit | number
 installmentAmount | Installment Amount | number
 lastRepaidAmount | Last Repaid Amount | number
-accountStatus | Account Status
+accountStatus | Account Status | section:8.10
 accountStatusDate | Account Status Date | date
 writtenOffAmount | Written Off Amount | number
 settledAmount | Settled Amount | number
 restructureReason | Major reasons for Restructuring
 npaAmount | Amount of Contracts Classified as NPA | number
-assetSecurityCoverage | Asset based Security coverage
-guaranteeCoverage | Guarantee Coverage
+assetSecurityCoverage | Asset based Security coverage | section:8.16
+guaranteeCoverage | Guarantee Coverage | section:8.17
 bankRemarkCode | Bank Remark Code
 wilfulDefaultStatus | Wilful Default Status
 wilfulDefaultDate | Date Classified as Wilful Default | date
-suitFiledStatus | Suit Filed Status
+suitFiledStatus | Suit Filed Status | section:8.11
 suitReferenceNumber | Suit Reference Number
 suitAmount | Suit Amount in Rupees | number
 dateOfSuit | Date of Suit | date
@@ -165,8 +165,8 @@ CR_V310 = replace(CR, fields=CR.fields + layout("ufceDate | UFCE Date | date"))
 GS = Segment("GS", layout("""
 gsDuns | Guarantor DUNS Number
 gsRelatedType | Related Type
-gsBusinessCategory | Business Category
-gsBusinessIndustryType | Business / Industry Type
+gsBusinessCategory | Business Category | section:8.2
+gsBusinessIndustryType | Business / Industry Type | section:8.3
 gsReserved5 | Reserved
 gsNamePrefix | Individual Name Prefix
 gsFullName | Full Name
@@ -190,9 +190,9 @@ gsAddressLine2 | Address Line 2
 gsAddressLine3 | Address Line 3
 gsCity | City/Town
 gsDistrict | District
-gsStateCode | State/Union Territory | warn
+gsStateCode | State/Union Territory | warn section:8.5
 gsPinCode | Pin Code | warn
-gsCountry | Country
+gsCountry | Country | section:8.15
 gsMobile | Mobile Number(s)
 gsTelNumber | Telephone Number(s)
 gsTelAreaCode | Telephone Area Code
@@ -204,9 +204,9 @@ gsFiller | Filler
 
 SS = Segment("SS", layout("""
 securityValue | Value of Security | number warn
-ssCurrency | Currency | codes:CURRENCY default:INR
-securityType | Type of Security
-securityClassification | Security Classification | warn
+ssCurrency | Currency | codes:CURRENCY default:INR section:8.7
+securityType | Type of Security | section:8.13
+securityClassification | Security Classification | warn section:8.14
 securityDate | Date of Valuation
 ssFiller | Filler
 ssFiller2 | Filler

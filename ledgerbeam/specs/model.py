@@ -3,7 +3,8 @@
 A layout is a table of text lines, ``key | label | marks``.  Marks: ``req`` (blank is an error),
 ``warn`` (blank is a warning), ``date``, ``number``, ``codes:NAME``, ``default:TEXT``, ``width:N``,
 ``cap:N``, ``tlv:NN``, ``left``/``right`` (padding side), ``zero`` (pad with 0), ``when:NAME``
-(required only when the named condition holds), ``alias:TEXT``.
+(required only when the named condition holds), ``alias:TEXT``, ``section:N`` (of the catalogue in the
+format document that lists the field's codes).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ class Field:
     pad_left: bool | None = None
     pad_char: str | None = None
     aliases: tuple[str, ...] = ()
+    section: str = ""
 
     @property
     def padding(self) -> tuple[bool, str]:
@@ -135,8 +137,8 @@ def layout(text: str, catalogues: Mapping[str, Mapping[str, str]] | None = None,
                 props["pad_left"] = True
             elif name == "right":
                 props.update(pad_left=False, pad_char=" ")
-            elif name == "when":
-                props["when"] = arg
+            elif name in ("when", "section"):
+                props[name] = arg
             elif name == "alias":
                 props["aliases"] = (*props.get("aliases", ()), arg.replace("_", " "))
             else:
