@@ -601,7 +601,8 @@ def _two_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     o = B.table(spark, sf, "orders").selectExpr(
         "concat('S', o_custkey % 5) as submission_id", "o_orderkey as ord", "concat('CR|', o_orderkey, '|', cast(round(o_totalprice * 100) as bigint), '|INR') as line")
     filed = o.withColumn("line", F.expr("case when ord % 50 = 0 then concat(substr(line, 1, length(line) - 3), 'USD') when ord % 77 = 0 then concat(line, '|') else line end"))
-    return reconcile.placed_lines(o, ("ord",), 2), reconcile.placed_lines(filed, ("ord",), 2)
+    crlf = F.lit("\r\n")
+    return reconcile.placed_lines(o.withColumn("eol", crlf), ("ord",)), reconcile.placed_lines(filed.withColumn("eol", crlf), ("ord",))
 
 
 @query
@@ -628,8 +629,24 @@ def first_differences(spark, sf):
 @query
 def comparison_summary(spark, sf):
     g, f = _two_files(spark, sf)
-    d = reconcile.compare_bytes(reconcile.compare_lines(g, f))
-    return reconcile.comparison_summary(reconcile.file_lengths(g, 2, True), reconcile.file_lengths(f, 2, True), d)
+    d = reconcile.line_differences(reconcile.compare_lines(g, f))
+    return reconcile.comparison_summary(reconcile.file_lengths(g), reconcile.file_lengths(f), d)
+
+
+@query
+def comparison_line_ends(spark, sf):
+    """Files against copies: S0 with bare line feeds, S1 without its last line end, S2 without its first line, the others alike."""
+    o = B.table(spark, sf, "orders").selectExpr("concat('S', o_custkey % 5) as submission_id", "o_orderkey as ord", "concat('CR|', o_orderkey) as line", "'\\r\\n' as eol")
+    edges = o.groupBy("submission_id").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+    filed = o.join(edges, "submission_id").where("not (submission_id = 'S2' and ord = low)").withColumn("eol", F.expr(
+        "case when submission_id = 'S0' then '\\n' when submission_id = 'S1' and ord = high then '' else eol end"))
+    sides = [(g, f) for g, f in ((o, filed), (reconcile.even_line_ends(o), reconcile.even_line_ends(filed)))]
+    strict, loose = (reconcile.comparison_summary(
+        reconcile.file_lengths(o), reconcile.file_lengths(filed),
+        reconcile.line_differences(reconcile.compare_lines(reconcile.placed_lines(g, ("ord",)), reconcile.placed_lines(f, ("ord",)))), ignore_eol=k == 1)
+        for k, (g, f) in enumerate(sides))
+    return strict.select("submission_id", "match", "generated_length", "reference_length", "diff_count").join(
+        loose.select("submission_id", F.col("match").alias("loose_match")), "submission_id")
 
 
 # ---- sheets ------------------------------------------------------------------------------------------------

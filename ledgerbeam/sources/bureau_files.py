@@ -26,18 +26,25 @@ def read_pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return raw.select(
         _submission(F.col("_metadata.file_path")).alias("submission_id"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("piece_ord"),
-        _latin1("value").alias("piece"))
+        _latin1("value").alias("piece"), F.col("_metadata.file_size").alias("file_size"))
 
 
 PIECE_ORDER = ("file", "block_start", "piece_ord")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of filed files with their order; a trailing CR is kept off the text and noted in ``eol``."""
-    p = read_pieces(spark, path, "\n")
-    cr = F.col("piece").endswith("\r")
-    return p.select("submission_id", *PIECE_ORDER, F.when(cr, F.expr("left(piece, length(piece) - 1)")).otherwise(
-        F.col("piece")).alias("line"), F.when(cr, "\r\n").otherwise("\n").alias("eol"))
+def read_lines(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """Lines of filed files with their order and real ends (``eol``): a CR before the line feed belongs to the end, and a
+    file's last line has none if the file stops there.  Pass a marker as ``separator`` to read a huge one-line file in pieces.
+
+    The reader gives the last piece alike with and without a separator behind it; the file's size tells which it was."""
+    p = read_pieces(spark, path, separator)
+    held = F.sum(F.length("piece") + len(separator))
+    last = p.groupBy("file").agg(held.alias("held"), F.max("file_size").alias("size"), F.max(F.struct("block_start", "piece_ord")).alias("at"))
+    open_ended = last.filter("held > size").select("file", "at.block_start", "at.piece_ord", F.lit(True).alias("open"))
+    p = p.join(open_ended, list(PIECE_ORDER), "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    cr = F.col("piece").endswith("\r") & ~F.col("open") & F.lit(separator == "\n")
+    return p.select("submission_id", *PIECE_ORDER, F.when(cr, F.expr("left(piece, length(piece) - 1)")).otherwise(F.col("piece")).alias("line"),
+                    F.when(F.col("open"), "").when(cr, "\r\n").otherwise(separator).alias("eol"))
 
 
 def decode_delimited(lines: DataFrame, fmt: Format) -> DataFrame:

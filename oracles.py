@@ -340,6 +340,15 @@ ORACLES |= {
     "compare_lines": f"with {_FILES} select * from diff",
     "compare_bytes": f"with {_FILES} select {_BYTE_COLS} from bytes",
     "first_differences": f"with {_FILES} select submission_id, row_number() over (partition by submission_id order by \"offset\" + col_no) as n, line_no, col_no from bytes qualify n <= 10",
+    "comparison_line_ends": """with g as (select 'S' || (o_custkey % 5) as submission_id, o_orderkey as ord, 'CR|' || o_orderkey as line from orders),
+        n as (select submission_id, ord, line, row_number() over (partition by submission_id order by ord) as k, count(*) over (partition by submission_id) as c from g),
+        shifted as (select submission_id, sum(len(list_filter(range(1, greatest(length(a.line), coalesce(length(b.line), 0)) + 1), lambda i: substr(a.line, i, 1) <> substr(coalesce(b.line, ''), i, 1))) + if(b.line is null, 2, 0)) as d
+          from n a left join (select submission_id, k - 1 as k, line from n) b using (submission_id, k) where submission_id = 'S2' group by 1),
+        s as (select submission_id, count(*) as c, sum(length(line) + 2)::bigint as bytes, arg_min(length(line), ord) as top from g group by 1)
+        select submission_id, submission_id not in ('S0', 'S1', 'S2') as match, bytes as generated_length,
+          (bytes - case submission_id when 'S0' then c when 'S1' then 2 when 'S2' then top + 2 else 0 end)::bigint as reference_length,
+          least(case submission_id when 'S0' then 2 * c when 'S1' then 2 when 'S2' then d else 0 end, 50)::bigint as diff_count, submission_id not in ('S1', 'S2') as loose_match
+        from s left join shifted using (submission_id)""",
     "comparison_summary": f"""with {_FILES}, b as (select submission_id, count(*) as n, min("offset" + col_no - 1) as o, min(line_no) as l, arg_min(col_no, "offset" + col_no) as c from bytes group by 1),
         s as (select submission_id, sum(length(g.line) + 2)::bigint as gl from g group by 1), t as (select submission_id, sum(length(f.line) + 2)::bigint as rl from f group by 1)
         select submission_id, false as match, gl as generated_length, rl as reference_length, least(n, 50)::bigint as diff_count, n > 50 as truncated,

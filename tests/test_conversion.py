@@ -137,3 +137,38 @@ def test_formats(spark):
     assert [len(s.fields) for s in commercial.TEMPLATE_V310.body] == [28, 18, 40, 45, 38, 8, 8]
     assert sum(f.width for f in microfinance.HDR.fields) == 171 and sum(f.width for f in consumer.TUDF_HEADER.fields) == 146
     assert sum(f.width for f in consumer.FLAT_HEADER.fields) == 155
+
+
+def _bytes_of(folder):
+    return b"".join(open(p, "rb").read() for p in sorted(glob.glob(f"{folder}/*")))
+
+
+def test_reconciliation_counts_line_ends(spark, meta, done, tmp_path):
+    write_submissions(done.records.where("submission_id = 'S1'"), FMT, str(tmp_path / "made"))
+    made = _bytes_of(tmp_path / "made/submission_id=S1")
+    seg = done.segments.withColumn("notes", F.array().cast(NOTE_TYPE)).drop("issues", "record").filter("submission_id = 'S1'")
+    for name, data, strict, loose in (("same", made, True, True), ("lf", made.replace(b"\r\n", b"\n"), False, True), ("cut", made[:-2], False, False), ("none", b"", False, False)):
+        folder = tmp_path / name / "submission_id=S1"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_bytes(data)
+        for ignore, want in ((False, strict), (True, loose)):
+            v = reconcile(seg, meta.filter("submission_id = 'S1'"), FMT, read_lines(spark, str(tmp_path / name)), ignore_eol=ignore).verdicts.first()
+            assert (v.verdict == "MATCH", v.generated_length, v.reference_length) == (want, len(made), len(data)), (name, ignore)
+
+
+def test_one_line_file_matches_itself(spark, meta, tmp_path):
+    fmt = microfinance.CDF
+    rows = [("S1", f"M{k}", k, f"MEM{k}") for k in range(300)]
+    seg = union_sheets(segment_sheet(spark.createDataFrame(rows, "submission_id string, ac_no string, row_no int, memberIdentifier string"), fmt, "CNSCRD"))
+    one = meta.filter("submission_id = 'S1'")
+    write_submissions(convert_batch(seg, one, fmt, emit_with_errors=True).records, fmt, str(tmp_path / "made"))
+    made = _bytes_of(tmp_path / "made/submission_id=S1")
+    for name, data, at in (("same", made, None), ("changed", made.replace(b"MEM250|", b"MEX250|") if b"MEM250|" in made else made.replace(b"MEM250", b"MEX250"), made.index(b"MEM250") + 2)):
+        folder = tmp_path / name / "submission_id=S1"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_bytes(data)
+        for separator in ("\n", "CNSCRD|"):
+            r = reconcile(seg, one, fmt, read_lines(spark, str(tmp_path / name), separator))
+            v = r.verdicts.first()
+            assert (v.verdict == "MATCH", v.generated_length, v.reference_length) == (at is None, len(made), len(data))
+            assert at is None or (r.differences.first().offset, r.differences.first().line_no, r.differences.first().col_no) == (at, 1, at + 1)
