@@ -146,15 +146,14 @@ def city_notes(city: Column) -> Column:
         return F.when(unknown, _within_budget(w, lookup_list(_CITIES_BY_LENGTH, F.length(w).cast("string"))))
 
     def typo(w: Column) -> Column:
-        return F.concat(F.lit('City "'), city, F.lit('": "'), F.upper(w), F.lit('" looks like a misspelling of "'),
-                        F.initcap(near(w)), F.lit('".'))
+        return F.concat(F.lit('Town "'), city, F.lit('": is "'), F.upper(w), F.lit('" meant to be "'),
+                        F.initcap(near(w)), F.lit('"?'))
 
     def check(lower: Column) -> Column:
         as_state = state_name(lookup(_STATE_BY_NAME, lower))
-        locality = F.when(lower.rlike("[0-9]|^[^ ]+ [^ ]+ "), F.concat(F.lit('City "'), city, F.lit(
-            '" looks like it includes the locality or street; enter the city or town only.')))
+        locality = F.when(lower.rlike("[0-9]|^[^ ]+ [^ ]+ "), F.concat(F.lit('Town "'), city, F.lit('" seems to hold more than the name of a town.')))
         return F.when(as_state.isNotNull(), F.array(F.concat(
-            F.lit('City "'), city, F.lit('" is a state name ('), as_state, F.lit("); enter the city or town.")))
+            F.lit('Town "'), city, F.lit('" names a state ('), as_state, F.lit(").")))
         ).otherwise(F.array_compact(F.concat(F.array(locality), F.transform(F.split(lower, " "), typo))))
 
     return F.coalesce(let(F.lower(squeeze(city)), check), none)
@@ -164,9 +163,8 @@ def phone_note(who: Column, mobile: Column) -> Column:
     def check(digits: Column) -> Column:
         bad = ~digits.rlike("^(?:91|0)?[6-9][0-9]{9}$")
         return F.when(bad & digits.rlike("^0[1-5]"), F.concat(
-            who, F.lit(' contact "'), mobile,
-            F.lit('" looks like a landline, but it is reported in the Mobile field; use the landline columns.'))
-        ).when(bad, F.concat(who, F.lit(' mobile "'), mobile, F.lit('" is not a 10-digit Indian mobile number.')))
+            who, F.lit(': "'), mobile, F.lit('" begins like a landline and stands in the mobile column.'))
+        ).when(bad, F.concat(who, F.lit(': "'), mobile, F.lit('" cannot be an Indian mobile number.')))
     return let(F.translate(mobile, " \t\n\r-+", ""), check)
 
 

@@ -63,8 +63,8 @@ def explode_form(form: DataFrame, meta: DataFrame, keep_empty_email: bool = Fals
         "rateOfInterest": col("rateOfInterest"), "repaymentTenure": col("repaymentTenure"),
     }, found=notes(
         note("suitFiled", F.when(col("suitFiled").isNull(), F.lit(
-            'Mandatory field "Suit Filed / Wilful Default" (Column AZ) is blank; 00 means no suit filed.'))),
+            'Suit Filed / Wilful Default (column AZ): a code must be given, 00 if there is no suit.'))),
         note("rateOfInterest", F.when(col("rateOfInterest").isNull(), F.lit(
-            'Mandatory field "Rate of Interest" (Column BG) is blank; give the sanctioned rate.')))))
+            'Rate of Interest (column BG): the sanctioned rate must be given.')))))
     es = segment(fmt, "ES", {})
     return spread(rows, F.array(pn, id_, pt, ec, pa, tl, es))

@@ -63,14 +63,14 @@ def borrower_issues(segments: DataFrame, fmt: Format) -> DataFrame:
         n = F.col(f"n_{s.tag}")
         checks.append(F.when(n != 1 if s.cardinality == "one" else n > 1, F.struct(
             F.lit(s.sheet or s.tag).alias("sheet"), F.lit(s.tag).alias("field_key"), F.lit("cardinality").alias("rule"),
-            F.concat(F.lit("Borrower "), F.col("ac_no"), F.lit(f": expected {words[s.cardinality]} for segment {s.tag}, found "),
-                     n.cast("string")).alias("message"),
+            F.concat(F.lit(f"Segment {s.tag} stands "), n.cast("string"), F.lit(" times under borrower "), F.col("ac_no"),
+                     F.lit(f"; allowed: {words[s.cardinality]}")).alias("message"),
             F.lit(citation(fmt, s, None, "cardinality")).alias("reference"), n.cast("string").alias("value"),
             F.lit(s.tag).alias("tag"), F.lit(1).alias("stage"), F.lit(ord_).alias("item"))))
     if fmt.borrower_rules:
         checks.append(F.when(~F.col("registered"), F.struct(
             F.col("first_sheet").alias("sheet"), F.lit("").alias("field_key"), F.lit("portal-mandatory").alias("rule"),
-            F.concat(F.lit("No Registered Office address: at least one address of Location Type 01 is required, found only ["),
+            F.concat(F.lit("The borrower has no address of Location Type 01 (registered office); types given: ["),
                      F.col("locations"), F.lit("].")).alias("message"),
             F.lit(citation(fmt, None, None, "portal-mandatory", "registered office")).alias("reference"),
             F.lit(None).cast("string").alias("value"), F.lit("AS").alias("tag"), F.lit(2).alias("stage"),
@@ -105,8 +105,8 @@ def duplicate_issues(segments: DataFrame, fmt: Format, column: str | None = None
         column=F.lit(column).cast("string"), tag=F.lit("CR"), phase=F.lit(1), stage=F.lit(0), value=F.col("account"),
         flag=F.col("flag"), spec_ord=F.col("spec_ord"), seq=F.col("seq"),
         reference=F.lit(citation(fmt, fmt.segment("CR"), None, "duplicate")),
-        message=F.concat(F.lit("Account number "), F.col("account"), F.lit(" is reported more than once (rows "),
-                         F.col("first_row").cast("string"), F.lit(" and "), F.col("row_number").cast("string"), F.lit(").")))
+        message=F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(" repeats account "), F.col("account"),
+                         F.lit(" of row "), F.col("first_row").cast("string"), F.lit(".")))
 
 
 def empty_issues(meta: DataFrame, segments: DataFrame, fmt: Format) -> DataFrame:

@@ -235,7 +235,7 @@ ORACLES: dict[str, str] = {
         union all select submission_id, 'ADRCRD', 'M' || k, k, 'currentState', 'error', 'ZZ' from cust where k % 9 = 0)""",
     "date_violations": _rule("date"),
     "identifier_formats": f"with {ISSUES} select submission_id, tag, ac_no, row_number, field_key, value from issues where rule = 'format' and bypassable",
-    "separator_in_values": f"""with {ISSUES} select submission_id, tag, ac_no, row_number, field_key, value, 'Value "' || value || '" contains "|", the field separator, which would shift every later field' as message
+    "separator_in_values": f"""with {ISSUES} select submission_id, tag, ac_no, row_number, field_key, value, '"' || value || '" has a "|" in it, which ends a field; later fields would move' as message
         from issues where rule = 'format' and not bypassable""",
     "conditional_mandatory": f"""with {LOANS} select submission_id, 'ACTCRD' as tag, 'M' || k as ac_no, row_no as row_number, f as field_key, 'error' as severity, null::varchar as value
         from loans, (values ('numInstallments', 3), ('repaymentFrequency', 4)) t(f, m) where row_no % m = 0 and d + interval 288 month >= date '2022-04-01'""",
@@ -243,7 +243,7 @@ ORACLES: dict[str, str] = {
     "blank_form_cells": f"with {FORM} select submission_id, 'TL' as tag, 'r' || row_no as ac_no, row_no as row_number, 'suitFiled' as field_key, 'error' as severity from form where suit = '' "
                         "union all select submission_id, 'TL', 'r' || row_no, row_no, 'rateOfInterest', 'error' from form where rate = ''",
     "cardinality_violations": _rule("cardinality") + f" union all select * from (with {FORM} select submission_id, 'ID', 'r' || row_no, row_no, 'ID', 'error', '0' from form where pn is null)",
-    "registered_office_missing": f"""with {SHEETS} select asg.submission_id, ac_no, first_row as row_number, 'No Registered Office address: at least one address of Location Type 01 is required, found only [' || case when loc = '' then 'blank' else loc end || '].' as message
+    "registered_office_missing": f"""with {SHEETS} select asg.submission_id, ac_no, first_row as row_number, 'The borrower has no address of Location Type 01 (registered office); types given: [' || case when loc = '' then 'blank' else loc end || '].' as message
         from asg join firsts using (ac_no) where loc <> '01'""",
     "wilful_date_missing": f"with {SHEETS} select submission_id, ac_no, row_no as row_number from cr where wil = '1' and wdate = ''",
     "duplicate_accounts": f"with {SHEETS}, {DUPS} select submission_id, ac_no, row_no, account, first_row from dups",
@@ -277,10 +277,10 @@ ORACLES: dict[str, str] = {
                           "and coalesce(p3.code, p2.code) not in ('01','06','08','09','18','27','37','77')",
     "named_states": "select c_custkey as k, ['11', '25', '07', '36', null, null, '11', '77'][(c_custkey % 8) + 1] as state_code from customer",
     "address_split": f"with {CUST}, {SPLIT}",
-    "city_sanity": """select k, unnest(notes) as note from (select c_custkey as k, case c_custkey % 7 when 0 then ['City "Gujarat" is a state name (Gujarat); enter the city or town.']
-        when 1 then ['City "Hyderebad": "HYDEREBAD" looks like a misspelling of "Hyderabad".'] when 2 then ['City "Hitech City Madhapur Hyderabad" looks like it includes the locality or street; enter the city or town only.']
-        when 4 then ['City "Sector 5" looks like it includes the locality or street; enter the city or town only.'] when 5 then ['City "Nagpurr": "NAGPURR" looks like a misspelling of "Nagpur".'] else [] end as notes from customer)""",
-    "phone_quality": f"""with {CUST} select k, 'Borrower contact "' || contactNo || '" looks like a landline, but it is reported in the Mobile field; use the landline columns.' as note from cust where k % 3 = 1""",
+    "city_sanity": """select k, unnest(notes) as note from (select c_custkey as k, case c_custkey % 7 when 0 then ['Town "Gujarat" names a state (Gujarat).']
+        when 1 then ['Town "Hyderebad": is "HYDEREBAD" meant to be "Hyderabad"?'] when 2 then ['Town "Hitech City Madhapur Hyderabad" seems to hold more than the name of a town.']
+        when 4 then ['Town "Sector 5" seems to hold more than the name of a town.'] when 5 then ['Town "Nagpurr": is "NAGPURR" meant to be "Nagpur"?'] else [] end as notes from customer)""",
+    "phone_quality": f"""with {CUST} select k, 'Borrower: "' || contactNo || '" begins like a landline and stands in the mobile column.' as note from cust where k % 3 = 1""",
     "date_parse": "select o_orderkey as row_no, case when o_orderkey % 47 = 0 then 'soon' else strftime(o_orderdate, '%d%m%Y') end as ddmmyyyy from orders",
     "serial_date": """with e as (select event_id as i from events) select i as event_id, case i % 3 when 0 then strftime(date '1899-12-30' + (20000 + i % 40000)::int, '%d%m%Y')
         when 2 then strftime(date '1899-12-30' + (30000 + i % 1000)::int, '%d%m%Y')
