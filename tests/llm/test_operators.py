@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -213,6 +214,22 @@ def test_whole_licences_and_notices(spark):
     assert again.count() == 1
 
 
+def test_full_licences_in_usual_forms(spark):
+    names = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0")
+    rows = []
+    for name in names:
+        text = licences.KNOWN[0][1] if name == "MIT" else (Path(licences.__file__).parent / "licence_texts" / f"{name}.txt").read_text()
+        title, notice, one = licences.TITLES[name][0], "Copyright (c) 1999-2024, Some Body, Inc. and J. Smith <a@b.example>", " ".join(text.split())
+        wrapped = re.sub(r"(?i) (copyright)", r"\n# \1", one)  # each at the start of a line
+        rows += [(name, k, t) for k, t in enumerate((text, f"{title}\n\n{notice}\nAll rights reserved.\n\n{text}", f"{title}\r\n\r\n{text}", wrapped, f"{notice}. All rights reserved. {one}", f"{title} {notice} {one}"))]
+    got = licences.scan(spark.createDataFrame(rows, "name string, form int, text string"), id_column="name").collect()
+    assert not [(r.name, r.form, r.license_id) for r in got if r.license_id != r.name] and len(got) == len(rows)
+    cases = [("(c) 2020 Some Body. Do what you like.", "do what you like"), ("copyright holders be liable", "copyright holder be liable"), ("(c) You must keep this", "c you must keep this"),
+             ("Copyright Some Body and contributors\nx", "x"), ("All rights reserved. Use it.", "use it")]
+    forms = spark.createDataFrame(cases, "text string, want string").select(licences.whole(licences.canonical(F.col("text"))), "want").collect()
+    assert all(r[0] == r.want for r in forms), forms
+
+
 def test_tool_calls(spark):
     calls = [("a", None, "t", '{"n":1,"s":"x"}'), ("b", "a", "t", '{"s":"y","n":2}'), ("c", "b", "t", '{"n":"1","s":"x"}'), ("d", "e", "t", '{"s":"x","n":1,"z":1}'), ("e", "d", "t", "[1]"),
              ("f", "none", "u", "{}"), ("b", "a", "t", '{"s":"y","n":2}'), (None, None, "t", "{}"), ("g", "c", "t", None), ("h", "a", "t", '{"n":1.5,"s":"x"}')]
