@@ -1,9 +1,9 @@
 """Toxicity: restores obfuscated words by a noisy-channel model, then scores the restored text.
 
-Words with look-alike characters between letters, letters repeated three times or more, or single letters set apart are decoded:
-a lattice holds for each character what it may stand for (itself, look-alike letters, nothing for a repetition or a blank), and
-the Viterbi path is the likeliest under a trigram model of characters counted over all texts of the corpus. All other words have
-one path only and stay as they are.
+Words with a letter and a look-alike character or a letter twice in a row, and three or more single letters or look-alikes set apart
+by blanks or marks, are decoded: a lattice holds for each character what it may stand for (itself, look-alike letters, nothing for
+a repetition or what stands between), and the Viterbi path is the likeliest under a trigram model of characters counted over all
+texts of the corpus. Other words, and words whose path changes no letter, stay as they are written.
 
 The score weighs the evidence of words and of their first four to six bytes, as counted over a bounded sample (`SAMPLE_ROWS`) of
 the labelled texts given for learning, which no shuffle of texts is needed for: the strongest, the second strongest word and the sum of strong ones, joined by a logistic model.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,7 @@ PREFIXES = (4, 5, 6)
 STRONG = 2.5
 #: Letters that a character may stand for, and what a change costs.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-COST = {"same": 0.0, "look": -0.5, "repeat": -0.3, "joined": -1.0}
+COST = {"same": 0.0, "look": -0.5, "repeat": -0.3, "double": -5.0, "joined": -1.0}
 #: Classes of bytes of the character model: 0 for blanks and marks, letters, digits, and the bytes of other characters in 27 groups.
 CLASSES = 64
 CLASS = np.zeros(256, np.int64)
@@ -47,6 +48,8 @@ ALNUM = LETTER.copy()
 ALNUM[48:58] = True
 LOOK = np.zeros(256, bool)
 LOOK[[ord(c) for c in LOOKS]] = True
+#: What stands between single letters, as blanks.
+GAP = re.compile(rb"[^0-9A-Za-z\x80-\xff" + re.escape("".join(LOOKS)).encode() + rb"]+")
 
 
 def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -78,74 +81,97 @@ class Restorer:
         self.model = model
         self.restore = functools.lru_cache(maxsize=50_000)(self._restore)
 
-    def _options(self, chars: str, k: int) -> list[tuple[str, float]]:
+    def _options(self, chars: str, k: int, apart: bool) -> list[tuple[str, float]]:
         c = chars[k]
-        options = [(c, COST["same"])]
-        if c.isdigit() or chars[k + 1 : k + 2].isalnum():  # a mark stands for a letter only before one
-            options += [(x, COST["look"]) for x in LOOKS.get(c, "")]
+        options = [(c, COST["same"]), *[(x, COST["look"]) for x in LOOKS.get(c, "")]]
         if k and c == chars[k - 1] and c.isalpha():
-            options.append(("", COST["repeat"]))
-        if c == " ":
+            options.append(("", COST["repeat" if c in (chars[k + 1 : k + 2], chars[max(k - 2, 0) : k - 1]) else "double"]))
+        if apart and not c.isalnum():
             options.append(("", COST["joined"]))
         return options
 
-    def _restore(self, word: bytes) -> bytes:
+    def _restore(self, word: bytes, apart: bool = False) -> bytes:
+        """The likeliest reading of a word, or of single letters `apart`; the word as it is written if no letter changes."""
+        apart = apart or b" " in word
         chars = word.decode("utf-8", "replace").lower()
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for k in range(len(chars) + 1):
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, done) in paths.items():
-                for out, cost in self._options(chars, k) if k < len(chars) else [(" ", 0.0)]:
+                for out, cost in self._options(chars, k, apart) if k < len(chars) else [(" ", 0.0)]:
                     x, y, total = a, b, score + cost
                     for byte in out.encode():
                         z = int(CLASS[byte])
-                        total += self.model[x, y, z]
-                        x, y = y, z
+                        if y or z:  # the model counts blanks and marks in a row as one
+                            total += self.model[x, y, z]
+                            x, y = y, z
                     if (x, y) not in after or total > after[x, y][0]:
                         after[x, y] = (total, done + out if k < len(chars) else done)
             paths = after
-        return max(paths.values(), key=lambda p: (p[0], p[1]))[1].encode()
-
-
-def odd_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of words, or of groups of single letters, with more than one path in the lattice."""
-    n = len(data)
-    if not len(starts):
-        return starts, ends
-    alnum = np.zeros(n + 2, bool)
-    alnum[1:-1] = ALNUM[data]
-    look = LOOK[data] & (alnum[:-2] | LOOK[np.append(0, data[:-1])]) & alnum[2:]
-    look |= LOOK[data] & ~(data - 48 < 10) & alnum[2:] & np.append(True, WHITE[data[:-1]])
-    triple = np.zeros(n, bool)
-    triple[:-2] = LETTER[data[:-2]] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) if n > 2 else False
-    look_sum, triple_sum, letter_sum = (np.append(0, np.cumsum(x)) for x in (look, triple, LETTER[data]))
-    letters = letter_sum[ends] - letter_sum[starts]
-    odd = ((look_sum[ends] > look_sum[starts]) & (letters > 1)) | (triple_sum[np.maximum(ends - 2, starts)] > triple_sum[starts])
-    single = ((ends - starts == 1) & LETTER[data[starts]]) | ((ends - starts == 2) & (data[starts] >= 0xC0))
-    edge = np.zeros(len(single) + 1, bool)
-    edge[1:-1] = single[1:] != single[:-1]
-    edge[rows] = True
-    cuts = np.flatnonzero(edge)
-    low, high = cuts[:-1], cuts[1:]
-    keep = single[low] & (high - low > 2)
-    return np.concatenate([starts[odd & ~single], starts[low[keep]]]), np.concatenate([ends[odd & ~single], ends[high[keep] - 1]])
+        best = max(paths.values(), key=lambda p: (p[0], p[1]))[1]
+        return word if best == chars else best.encode()
+
+
+def letters_apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of groups of three or more single letters or look-alikes, one of them a letter, with blanks or marks between."""
+    alnum = ALNUM[data]
+    near = np.zeros(len(data) + 2, bool)
+    near[1:-1] = alnum | LOOK[data]
+    beside = near[:-2] | near[2:]  # also across rows, where a mark alone begins or ends no group
+    shown = np.where(alnum | (LOOK[data] & ~beside), data, 0x20).astype(np.uint8)
+    starts, ends, rows = word_bounds(shown, offsets, WHITE)
+    if len(starts) < 3:
+        return np.zeros((2, 0), np.int64)
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    single = (points[ends] - points[starts] == 1) & (LETTER | LOOK)[data[starts]]
+    within = np.ones(len(starts) - 1, bool)  # whether a gap lies within a row
+    inner = rows[(rows > 0) & (rows < len(starts))]
+    within[inner - 1] = False
+    quote = within & (starts[1:] - ends[:-1] == 1) & (data[ends[:-1]] == 0x27) & single[1:] & single[:-1]
+    alone = quote & ~np.append(False, quote[:-1]) & ~np.append(quote[1:], False)  # as in I'm
+    cut = np.ones(len(starts) + 1, bool)
+    cut[1:-1] = ~(within & single[1:] & single[:-1] & ~alone)
+    at = np.flatnonzero(cut)
+    low, high = at[:-1], at[1:]
+    letters = np.append(0, np.cumsum(LETTER[data[starts]]))
+    keep = single[low] & (high - low > 2) & (letters[high] > letters[low])
+    return starts[low[keep]], ends[high[keep] - 1]
+
+
+def odd_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of words with a letter and with a look-alike or a letter twice in a row."""
+    starts, ends, _ = word_bounds(data, offsets, WHITE)
+    low = LOWER[data]
+    twice = np.zeros(len(data), bool)  # at the last byte
+    twice[1:] = LETTER[data[1:]] & (data[1:] < 0x80) & (low[1:] == low[:-1])
+    twice[3:] |= (data[2:-1] >= 0xC0) & (data[2:-1] == data[:-3]) & (data[3:] == data[1:-2])
+    odd_sum, letter_sum = (np.append(0, np.cumsum(x)) for x in (LOOK[data] | twice, LETTER[data]))
+    odd = (odd_sum[ends] > odd_sum[starts]) & (letter_sum[ends] > letter_sum[starts])
+    return starts[odd], ends[odd]
 
 
 def restored(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts with odd words restored."""
-    starts, ends, rows = word_bounds(data, offsets, WHITE)
-    low, high = odd_words(data, starts, ends, rows)
-    if not len(low):
+    apart = letters_apart(data, offsets)
+    cover = np.zeros(len(data) + 1, np.int64)
+    np.add.at(cover, apart[0], 1)
+    np.add.at(cover, apart[1], -1)
+    odd = odd_words(np.where(np.cumsum(cover[:-1]) > 0, 0x20, data).astype(np.uint8), offsets)
+    spans = sorted([*[(a, b, True) for a, b in zip(*(x.tolist() for x in apart), strict=True)], *[(a, b, False) for a, b in zip(*(x.tolist() for x in odd), strict=True)]])
+    raw, parts, done, changed, grown = data.tobytes(), [], 0, [], []
+    for a, b, group in spans:
+        word = GAP.sub(b" ", raw[a:b]) if group else raw[a:b]
+        new = restorer.restore(word, group)
+        if new != word:
+            parts += [raw[done:a], new]
+            changed.append(a)
+            grown.append(len(new) - (b - a))
+            done = b
+    if not changed:
         return data, offsets
-    by = np.argsort(low)
-    raw, parts, at = data.tobytes(), [], 0
     shift = np.zeros(len(offsets), np.int64)
-    for a, b in zip(low[by].tolist(), high[by].tolist(), strict=True):
-        new = restorer.restore(b" ".join(raw[a:b].split()))
-        parts += [raw[at:a], new]
-        shift[np.searchsorted(offsets, a, "right")] += len(new) - (b - a)
-        at = b
-    return np.frombuffer(b"".join([*parts, raw[at:]]), np.uint8), offsets + np.cumsum(shift)
+    np.add.at(shift, np.searchsorted(offsets, changed, "right"), grown)
+    return np.frombuffer(b"".join([*parts, raw[done:]]), np.uint8), offsets + np.cumsum(shift)
 
 
 def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

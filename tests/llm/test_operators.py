@@ -205,6 +205,20 @@ def test_obfuscated_words_are_restored(spark):
     assert data.tobytes() == b"An idiot! and he is" and offsets.tolist() == [0, 9, len(text)]
 
 
+def test_all_odd_spellings_are_restored_in_texts(spark):
+    docs = spark.createDataFrame([(1, "he is an idiot and the clown is stupid but all good will come soon " * 20)], "doc_id long, text string")
+    restorer = toxicity.Restorer(toxicity.character_model(docs))
+    pairs = [("5tupid", "stupid"), ("1diot", "idiot"), ("idio7", "idiot"), ("stuupid", "stupid"), ("$tupid", "stupid"), ("i d 1 o t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("s-t-u-p-1-d", "stupid"),
+             ("i d i o t", "idiot"), ("c.l.0.w.n", "clown"), ("i!d!i!o!t", "idiot"), ("s't'u'p'i'd", "stupid"), ("i, d, i, o, t", "idiot"), ("stuuupid", "stupid"), ("sTtupid", "stupid"),
+             ("All Good will come soon!", "All Good will come soon!"), ("I'm a clown", "I'm a clown"), ("2020 1 3", "2020 1 3"), ("an idiot!", "an idiot!"), ("", ""), ("x", "x")]
+    texts = [f"{odd} he is" for odd, _ in pairs] + [odd for odd, _ in pairs]
+    raw = [t.encode() for t in texts]
+    data, offsets = toxicity.restored(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), restorer)
+    got = [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:])]
+    want = [f"{plain} he is" for _, plain in pairs] + [plain for _, plain in pairs]
+    assert [(t, g) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
 def test_whole_licences_and_notices(spark):
     mit = licences.KNOWN[0][1]
     rows = [(1, "Copyright (c) 1999 Some Body\n" + mit.upper().replace("LICENSE", "LICENCE")), (2, "x\n# Released under the MIT Licence\nLicensed under the Apache License Version 2.0"), (3, None), (4, ""), (4, ""), (5, mit + " more")]
