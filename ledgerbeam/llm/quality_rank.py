@@ -1,8 +1,8 @@
 """Quality classifier: Bradley-Terry ranking of texts learned from preference pairs, with a threshold at a score quantile.
 
 Each pair says that one labelled text is better than another; the logistic loss on the difference of their features is minimised.
-The score of a text is its features times the weights. The threshold is the quantile at the share of bad labels, over the sample
-weighted back to the labels' shares; scores are moved so that it comes to stand at `CUT`. Features are counts over whole texts.
+The score of a text is its features times the weights. The threshold is the quantile at the share of bad labels, over the scores of
+all labelled texts; scores are moved so that it comes to stand at `CUT`. Only the fit of the weights is sampled. Features are counts over whole texts.
 
 A null or empty text has all counts 0 and a score as any other. Ties and repeated rows get equal scores. Without labels of both
 kinds all weights are 0 and every text scores `CUT`. Other columns pass through unless they are named like an output."""
@@ -68,14 +68,17 @@ class Ranking:
     weights: np.ndarray
     threshold: float
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.center) / self.scale, -6, 6) @ self.weights
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """From 0 to 1, `CUT` at the threshold."""
-        lead = np.clip((x - self.center) / self.scale, -6, 6) @ self.weights - self.threshold + np.log(CUT / (1 - CUT))
+        lead = self.raw(x) - self.threshold + np.log(CUT / (1 - CUT))
         return np.maximum(1 / (1 + np.exp(-np.clip(lead, -40, 40))), 0.0)
 
 
-def learn(x: np.ndarray, good: np.ndarray, good_share: float, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Ranking:
-    """Gradient descent on the pairs."""
+def learn(x: np.ndarray, good: np.ndarray, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Ranking:
+    """Gradient descent on the pairs; the threshold is left at 0."""
     center, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))
     ranking = Ranking(center, scale, np.zeros(len(NAMES)), 0.0)
     if not good.any() or good.all():
@@ -87,17 +90,11 @@ def learn(x: np.ndarray, good: np.ndarray, good_share: float, steps: int = 400,
     for _ in range(steps):
         wrong = 1 / (1 + np.exp(np.clip(lead @ ranking.weights, -40, 40)))
         ranking.weights = ranking.weights + rate * (lead.T @ wrong / len(lead) - decay * ranking.weights)
-    raw = z @ ranking.weights
-    weight = np.where(good, good_share / good.sum(), (1 - good_share) / (~good).sum())
-    by = np.argsort(raw)
-    at = min(int(np.searchsorted(np.cumsum(weight[by]), 1 - good_share)), len(by) - 2)
-    ranking.threshold = float((raw[by[at]] + raw[by[at + 1]]) / 2)
     return ranking
 
 
 def fit_ranking(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> Ranking:
-    """Weights from at most `rows` labelled texts of each kind; their features reach the driver, shares are counted over all labels."""
-    counts = {r[0]: r[1] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    """Weights from at most `rows` labelled texts of each kind, whose features reach the driver; the threshold from all labelled texts."""
     parts = [labels.where(F.col(label) == value).select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64(id_column), id_column).limit(rows) for value in (0, 1)]
     picked = F.broadcast(parts[0].union(parts[1]).dropDuplicates(["_id"]))
     sample = docs.join(picked, docs[id_column] == picked["_id"]).select(F.col(text).alias("text"), F.col("_id"), F.col("_label"))
@@ -109,7 +106,31 @@ def fit_ranking(docs: DataFrame, labels: DataFrame, id_column: str, text: str, l
 
     got = sample.mapInArrow(run, "id string, label int, x array<double>").orderBy("id", "label", "x").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(NAMES))
-    return learn(x, got.column("label").to_numpy() == 1, counts.get(1, 0) / max(1, sum(counts.values())))
+    ranking = learn(x, got.column("label").to_numpy() == 1)
+    ranking.threshold = threshold(docs, labels, ranking, id_column, text, label)
+    return ranking
+
+
+def threshold(docs: DataFrame, labels: DataFrame, ranking: Ranking, id_column: str, text: str, label: str) -> float:
+    """The middle between the two scores about the quantile at the share of bad labels, over all labelled texts. Texts are scored
+    before they meet their labels, so that only ids and scores are shuffled; one row reaches the driver."""
+    if not ranking.weights.any():
+        return 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches, "text"):
+            yield pa.record_batch([batch.column("_id"), pa.array(ranking.raw(features(data, offsets)))], ["_id", "raw"])
+
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    schema = T.StructType([T.StructField("_id", docs.schema[id_column].dataType), T.StructField("raw", T.DoubleType())])
+    scored = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).mapInArrow(run, schema).join(known, "_id")
+    n, bad = scored.agg(F.count("*"), F.sum(1 - F.col("_label"))).first()
+    if not n:
+        return 0.0
+    at = min(max(bad, 1), n - 1) / n  # between the last bad score and the next one, if bad texts had the least scores
+    accuracy = 1_000_000
+    low, high = scored.agg(F.percentile_approx("raw", F.array(F.lit(at), F.lit(min(1.0, at + 1 / n))), accuracy)).first()[0]
+    return (low + high) / 2
 
 
 def rank(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:

@@ -195,6 +195,17 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r.predicted == r[label] for r in rows) >= least * len(rows)
 
 
+def test_threshold_is_the_quantile_of_all_labelled_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["good", "words", "follow.", "x!!"], k=rng.randint(5, 60))), 1) for i in range(400)]
+    rows += [(400 + i, "# | ! $ " * rng.randint(5, 30) + "words " * rng.randint(0, 40), 0) for i in range(20)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    ranking = quality_rank.fit_ranking(docs, labels, "doc_id", "text", "quality", rows=8)
+    raw = [t.encode() for _, t, _ in rows]
+    scores = np.sort(ranking.raw(quality_rank.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))))
+    assert ranking.weights.any() and abs(ranking.threshold - (scores[19] + scores[20]) / 2) < 1e-9
+
+
 def test_obfuscated_words_are_restored(spark):
     docs = spark.createDataFrame([(1, "he is an idiot and the clown is stupid " * 20)], "doc_id long, text string")
     restorer = toxicity.Restorer(toxicity.character_model(docs))
