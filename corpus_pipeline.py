@@ -49,7 +49,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: The labels of lines, near copies and token ids are beyond SQL; the tests hold run() against a brute-force version.
+#: The labels of lines, near copies and token ids are beyond SQL; the tests step through the stages on a small table and hold near copies
+#: and repeats against brute force; of quality_rules they check the least number of words, of decontamination only that a subset stays.
 ORACLE_SQL = None
 
 
