@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each applies its operator to whole tables and derives the digest columns from the
+"""Registered queries of the thirteen operators: each applies its operator to whole tables and derives the digest columns from the
 operator's outputs. SQL is given where DuckDB can express the result on whole tables."""
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_repeats, decontaminate, jaccard, licences, line_crf, quality_rank, tool_calls, toxicity, word_repeats
+from . import bpe, byte_repeats, decontaminate, exact_dedup, hard_negatives, jaccard, licences, line_crf, quality_rank, ranked_search, tool_calls, toxicity, word_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,6 +129,24 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.group_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are shifted; every hundredth row is an anchor."""
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 ORACLES["op1_decontaminate"] = r"""
 with cut as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
@@ -188,3 +206,42 @@ kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as text
 select c.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
 from cut c left join kept k using (doc_id)
 """
+
+ORACLES["op11_ranked_search"] = r"""
+with cut as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+corpus as (select count(*)::bigint as n, sum(len(ws))::bigint as l from cut where len(ws) > 0),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+entries as (select doc_id, size, term, count(*)::bigint as tf from (select doc_id, len(ws)::bigint as size, unnest(ws) as term from cut) group by all),
+weights as (select term, floor(1000 * ln((2 * max(n) + 2)::double / (2 * count(*) + 1)))::bigint as w from entries, corpus where term in (select term from asked) group by term),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * size * n) // l))))::bigint as score
+  from asked join weights using (term) join entries using (term), corpus group by item_id, doc_id)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0) where rank <= 50
+"""
+
+ORACLES["op12_exact_dedup"] = r"""
+with cut as (select doc_id, length(coalesce(text, '')) as size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as plain from documents),
+grouped as (select *, first_value(doc_id) over (partition by plain order by size desc, doc_id) as keep_id, count(*) over (partition by plain) as group_size from cut)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(plain) as text_sha256 from grouped
+"""
+
+ORACLES["op13_hard_negatives"] = r"""
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select vec_id, label, unnest(v) as x, unnest(range(len(v))) as p from usable),
+scores as (
+  select a.vec_id as anchor_id, a.label = c.label as alike, c.vec_id, sum(a.x * c.x)::bigint as score
+  from parts a join parts c on a.p = c.p and a.vec_id <> c.vec_id where a.vec_id % 100 = 0 group by all),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as r from scores where alike) where r <= 5),
+negatives as (
+  select anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from positives join scores s using (anchor_id) where not alike and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from negatives where rank <= 10
+"""

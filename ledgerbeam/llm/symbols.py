@@ -10,11 +10,14 @@ import pyarrow as pa
 #: Bytes of text that are turned into arrays at once; a longer document makes a slice of its own.
 SLICE_BYTES = 1 << 19
 _RANDOM = np.random.default_rng(20250101)
-#: A random value for each byte, and an odd base: a word's digest is the sum of value times power of the base.
+#: A random value for each byte, and odd factors for sums that are folded after each step, so that no arrangement of symbols cancels out.
 _VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SEED = np.uint64(0xD6E8FEB86659FD93)
+#: What is kept of eight bytes of which so many belong to a word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Symbols of a run that are digested together.
+RUN_BLOCK = 32
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,16 +56,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(n + n // 4, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and past-the-last byte of every word, and the number of words before each row (with the total at the end)."""
     inside = np.zeros(len(data) + 2, bool)
@@ -76,32 +69,41 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> t
 
 
 def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit digest of the bytes of each span, equal for equal bytes (after `fold`) wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    values = _VALUES if fold is None else _VALUES[fold]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+    """A 64-bit digest of the bytes of each span, equal for equal bytes (after `fold`) wherever they stand. Spans are taken eight bytes
+    at a time through a bijection: spans of one length up to eight bytes never share a digest, longer ones share one by chance only."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data if fold is None else fold[data]
+    eights = np.ndarray((len(data) + 1,), np.uint64, buffer=padded, strides=(1,))
+    left = ends - starts
+    digests = mix(left.astype(np.uint64) + _SEED)
+    alive, at = np.arange(len(starts)), starts
+    while len(alive):
+        digests[alive] = mix(digests[alive] ^ (eights[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        alive, at, left = alive[more], at[more] + 8, left[more] - 8
+    return digests
+
+
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A value of the two in this order."""
+    both = a * _ODD + b
+    return both ^ both >> np.uint64(29)
 
 
 def gram_digests(symbols: np.ndarray, size: int) -> np.ndarray:
     """Digests of every run of `size` symbols (64-bit values), by doubling; length is len(symbols) - size + 1, 0 at least."""
     if len(symbols) < size:
         return np.zeros(0, np.uint64)
-    have, block, done = None, symbols.copy(), 0
-    width, factor, rest = 1, np.full(1, _BASE), size
+    have, block, done, width, rest = None, symbols.copy(), 0, 1, size
     while rest:
         n = len(symbols) - size + 1
         if rest & 1:
             part = block[done : done + n]
-            have = part.copy() if have is None else have * factor + part
+            have = part.copy() if have is None else _folded(have, part)
             done += width
         rest >>= 1
         if rest:
-            block = block[:-width] * factor + block[width:]
-            factor = factor * factor
+            block = _folded(block[:-width], block[width:])
             width *= 2
     return mix(have)
 
@@ -112,11 +114,20 @@ def byte_digests(data: np.ndarray) -> np.ndarray:
 
 
 def run_digests(symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A digest of each run of symbols, equal for equal runs wherever they stand."""
-    up, down = powers(len(symbols) + 1)
-    sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(mix(symbols) * up[:-1], out=sums[1:])
-    return mix((sums[high] - sums[low]) * down[low] ^ (high - low).astype(np.uint64))
+    """A digest of each run of symbols, equal for equal runs wherever they stand: blocks of `RUN_BLOCK` symbols (the last one from the end
+    back), or single symbols of a shorter run, one after the other."""
+    digests = mix((high - low).astype(np.uint64) + _SEED)
+    for short, width in ((True, 1), (False, RUN_BLOCK)):
+        alive = np.flatnonzero((high - low < RUN_BLOCK) == short)
+        grams = symbols if short else gram_digests(symbols, RUN_BLOCK)
+        at, last = low[alive], high[alive] - width
+        some = at <= last
+        while some.any():
+            alive, at, last = alive[some], at[some], last[some]
+            digests[alive] = mix(_folded(digests[alive], grams[at]))
+            some = at < last
+            at = np.minimum(at + width, last)
+    return digests
 
 
 def spans_of(mask: np.ndarray, rows: np.ndarray) -> pa.Array:
