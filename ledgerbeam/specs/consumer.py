@@ -60,7 +60,7 @@ TUDF_HEADER = Segment("TUDF", layout("""
 _recordType | Record Type | req width:4 default:TUDF
 version | Version | req width:2 default:12
 memberId | Member / Processor User ID | req width:30
-memberShortName | Member Short Name | width:16 default:CRIFHIGH
+memberShortName | Member Short Name | width:16
 cycleId | Cycle Identification | width:2
 reportingDate | Date Reported & Certified | date req width:8 right
 password | Reporting Password | width:30

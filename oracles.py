@@ -365,3 +365,7 @@ ORACLES |= {
     "sheet_rows": "select 'W' || c_nationkey as submission_id, c_nationkey % 5 + 2 + c_custkey as row_no, c_name as borrowerName, 'ACC' || c_custkey as accountNumber, c_mktsegment as businessCategory from customer",
     "lineage_cells": f"with {_BOOKS} select submission_id, field, letter from books, lateral (values ('borrowerName', 'A'), ('accountNumber', 'B'), ('businessCategory', chr((68 + n % 3)::int)), ('businessIndustryType', 'I')) t(field, letter)",
 }
+
+ORACLES |= {
+    "stream_read_back": f"select submission_id, tag, record, count(*) as records from ({TUDF}) group by all",
+}
