@@ -98,11 +98,11 @@ def duplicate_accounts(segments: DataFrame, fmt: Format, hot_rows: int | None =
     return joined.filter(place > F.col("first_place")).drop("first_place")
 
 
-def duplicate_issues(segments: DataFrame, fmt: Format, column: str | None = None) -> DataFrame:
+def duplicate_issues(segments: DataFrame, fmt: Format) -> DataFrame:
     rows = duplicate_accounts(segments, fmt)
     return _issue_rows(
         rows.withColumnRenamed("row_no", "row_number"), field_key=F.lit("accountNumber"), rule=F.lit("duplicate"),
-        column=F.lit(column).cast("string"), tag=F.lit("CR"), phase=F.lit(1), stage=F.lit(0), value=F.col("account"),
+        tag=F.lit("CR"), phase=F.lit(1), stage=F.lit(0), value=F.col("account"),
         flag=F.col("flag"), spec_ord=F.col("spec_ord"), seq=F.col("seq"),
         reference=F.lit(citation(fmt, fmt.segment("CR"), None, "duplicate")),
         message=F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(" repeats account "), F.col("account"),

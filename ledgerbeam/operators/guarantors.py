@@ -8,40 +8,29 @@ from pyspark.sql import functions as F
 from ..functions.text import clean, label_text, let
 from ..specs.commercial import GUARANTOR_KEYS
 
-# Sub-header test and the input it feeds; the first test that holds wins.
-# 'pan' is matched as a word so that 'company' does not count.
-HEADER_TESTS = tuple(
-    tuple(line.strip().split(" > "))
-    for line in """
-^guarantor type > type
-^guarantor entity name > entityName
-^full name > fullName
-date of birth > dob
-\\bpan\\b > pan
-gender > gender
-address line 1 > addressLine1
-address line 2 > addressLine2
-address line 3 > addressLine3
-address > address
-city > city
-district > district
-state > state
-pin > pin
-mobile > mobile
-std code > stdCode
-landline > landline
-contact > contact
-""".strip().splitlines()
-)
+# Labels of the column groups and the inputs they feed.
+BLOCK_START = {"guarantor type": "type"}
+NAMES = {"guarantor entity name": "entityName", "full name": "fullName"}
+PERSON = {"date of birth": "dob", "gender": "gender", "pan": "pan"}
+ADDRESS_LINES = {"address line 1": "addressLine1", "address line 2": "addressLine2", "address line 3": "addressLine3"}
+ADDRESS = {"address": "address"}
+PLACE = {"city": "city", "district": "district", "state": "state", "pin": "pin"}
+PHONES = {"mobile": "mobile", "std code": "stdCode", "landline": "landline"}
+CONTACT = {"contact": "contact"}
+
+
+def _longest(header: Column, labels: dict[str, str], at_start: bool = False) -> Column:
+    """The input of the longest label that begins the header, or stands in it as whole words."""
+    found = [F.when(header.startswith(label) if at_start else header.rlike(rf"\b{label}\b"), labels[label]) for label in sorted(labels, key=len, reverse=True)]
+    return F.coalesce(*found)
 
 
 def header_input(header: Column) -> Column:
-    def first_test(h: Column) -> Column:
-        out = F.when(h.rlike(HEADER_TESTS[0][0]), HEADER_TESTS[0][1])
-        for pattern, key in HEADER_TESTS[1:]:
-            out = out.when(h.rlike(pattern), key)
-        return out
-    return let(label_text(header), first_test)
+    """What a column group's header feeds. A block starts with its type, and names begin their header; every other label may stand
+    anywhere in it. A header that speaks of an address is one of its lines or the whole of it, with whatever it holds; only others are
+    a place. A kind of phone goes before a contact in general."""
+    return let(label_text(header), lambda h: F.coalesce(
+        _longest(h, BLOCK_START | NAMES, True), *[_longest(h, labels) for labels in (PERSON, ADDRESS_LINES, ADDRESS, PLACE, PHONES, CONTACT)]))
 
 
 def guarantor_blocks(raw_cells: Column) -> Column:

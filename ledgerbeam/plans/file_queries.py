@@ -8,14 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import encode
+from ..operators import encode, rollup
 from ..operators.consumer_form import explode_form
 from ..operators.partitioning import shared_dir
 from ..sinks.files import write_submissions
 from ..sources.streams import read_stream
 from ..specs import consumer
+from ..specs.registry import get_format
+from . import queries as Q
 from . import sample_book as B
 from .convert import convert_batch
+from .intake import convert_cells
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +42,27 @@ def stream_read_back(spark, sf):
     write_submissions(done.records, fmt, folder)
     back = read_stream(spark, folder, fmt).records.withColumn("record", encode.encode_rows(fmt, F.col("values")))
     return back.groupBy("submission_id", "tag", "record").agg(F.count(F.lit(1)).alias("records"))
+
+
+def _book_meta(cells: DataFrame) -> DataFrame:
+    return cells.select("submission_id").distinct().selectExpr(
+        "submission_id", "concat('MBR', submission_id) as member_id", "'Lender' as member_name", "cast(null as string) as member_short_name", "date'2026-07-31' as reporting_date",
+        "date'2026-08-05' as creation_date", "cast(null as string) as password", "cast(map() as map<string,string>) as extras")
+
+
+def _converted_books(spark: SparkSession, sf: str):
+    cells = Q._cells(spark, sf)
+    return convert_cells(cells, _book_meta(cells), get_format("commercial-ucrf-flat-v310"), emit_with_errors=True)
+
+
+@query
+def workbook_issue_listing(spark, sf):
+    """Findings of one workbook per nation, errors first, with the cells of columns that differ between workbooks."""
+    listing = rollup.issue_listing(_converted_books(spark, sf).issues)
+    return listing.select("submission_id", "n", "severity", "sheet", "row", "column", "cell", "field", "message")
+
+
+@query
+def workbook_records(spark, sf):
+    """Filed records of the same workbooks, headers and trailers too."""
+    return _converted_books(spark, sf).records.select("submission_id", "band", "ac_no", "tag", "record")

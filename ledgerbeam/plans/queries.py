@@ -693,5 +693,4 @@ def sheet_rows(spark, sf):
 
 @query
 def lineage_cells(spark, sf):
-    m = sheets.lineage(_cells(spark, sf), _SPEC).select("submission_id", F.explode("source_columns").alias("field", "letter"))
-    return m.filter(F.col("field").isin("borrowerName", "accountNumber", "businessCategory", "businessIndustryType"))
+    return sheets.field_places(_cells(spark, sf), _SPEC).select("submission_id", F.col("field_key").alias("field"), F.col("column").alias("letter"))

@@ -19,10 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..operators.assemble import in_file_order, physical_records
 from ..specs.model import Format
-
-
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+from ..storage import filesystem, shared_path
 
 
 @dataclass
@@ -43,8 +40,8 @@ class SubmissionFileWriter(DataSourceArrowWriter):
         return f"{self.path}/_staging-{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        target, _ = _filesystem(self.path)
-        base = _filesystem(self.path)[1]
+        target, _ = filesystem(self.path)
+        base = filesystem(self.path)[1]
         task = TaskContext.get()
         staging = posixpath.join(base, f"_staging-{self.job}", f"{task.partitionId()}-{task.taskAttemptId()}")
         files, current, out = [], None, None
@@ -68,7 +65,7 @@ class SubmissionFileWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         """Puts each submission of the batch in place as a whole; parts of an earlier run never stay beside new ones, and
         submissions that aren't in the batch are left alone.  The earlier folder goes only when the new one stands."""
-        target, base = _filesystem(self.path)
+        target, base = filesystem(self.path)
         staging = posixpath.join(base, f"_staging-{self.job}")
         folders: dict[str, list[str]] = {}
         for staged, final in (f for m in messages if m for f in m.files):
@@ -93,7 +90,7 @@ class SubmissionFileWriter(DataSourceArrowWriter):
         self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        target, base = _filesystem(self.path)
+        target, base = filesystem(self.path)
         staging = posixpath.join(base, f"_staging-{self.job}")
         if target.get_file_info(staging).type != fs.FileType.NotFound:
             target.delete_dir(staging)
@@ -117,5 +114,5 @@ def write_submissions(records: DataFrame, fmt: Format, path: str, small: bool =
     spark: SparkSession = records.sparkSession
     spark.dataSource.register(SubmissionFiles)
     pieces = in_file_order(physical_records(records, fmt, small)).select("submission_id", "text")
-    pieces.write.format("submission_files").mode(mode).option("path", path).option("extension", fmt.extension).option(
+    pieces.write.format("submission_files").mode(mode).option("path", shared_path(spark, path)).option("extension", fmt.extension).option(
         "charset", "latin-1").option("unmappable", unmappable).save()

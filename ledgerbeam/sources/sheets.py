@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.amounts import number_text
 from ..functions.dates import date_from_number, date_from_text, ddmmyyyy
 from ..functions.text import BLANKS, clean, column_letter, header_fold, header_text, letter_column
+from ..operators.cross_rows import whole_file_issues
 from ..operators.guarantors import unpivot_guarantors
+from ..operators.partitioning import SUBMISSION_SALTS, small_enough
 from ..specs.consumer import FORM_HEADER_LABELS
 from ..specs.model import FlatSheet, Format, Segment
 
@@ -26,7 +28,7 @@ def normal_cells(cells: DataFrame) -> DataFrame:
     unreadable workbooks are dropped."""
     text = F.when(F.col("kind") == "d", ddmmyyyy(date_from_number(F.col("raw_n")))).when(
         F.col("kind") == "n", number_text(F.col("raw_s"))).otherwise(F.btrim("raw_s", F.lit(BLANKS)))
-    return cells.withColumn("value", text).filter("value <> '' and kind <> 'unreadable'")
+    return cells.withColumn("value", text).filter("value <> '' and kind not in ('unreadable', 'sheet')")
 
 
 def _labels(spark: SparkSession, spec: FlatSheet) -> DataFrame:
@@ -200,33 +202,62 @@ def segment_table(cells: DataFrame, seg: Segment) -> DataFrame:
     sheet = cells.filter(F.lower("sheet") == (seg.sheet or seg.tag).lower())
     heads = sheet.filter("row_no = 1").select("submission_id", "col_no", header_text(F.col("value")).alias("header"))
     bound = heads.join(F.broadcast(labels), "header").select("submission_id", "col_no", "key")
-    rows = sheet.filter("row_no > 1").join(bound, ["submission_id", "col_no"])
+    keyed = bound.groupBy("submission_id").agg(F.bool_or(F.col("key") == "ac_no").alias("_keyed"))
+    rows = sheet.filter("row_no > 1").join(bound.join(keyed, "submission_id"), ["submission_id", "col_no"])
     dates = [f.key for f in seg.fields if f.kind == "date"]
     value = F.when(F.col("key").isin(*dates) & (F.col("kind") == "n"), ddmmyyyy(date_from_number(F.col("raw_n")))).otherwise(
         F.col("value")) if dates else F.col("value")
     keys = ["ac_no", "flag", *[f.key for f in seg.fields if f.key != "_tag"]]
-    # A workbook without the account column keeps NULL here; callers drop the column to make rows their own borrowers.
-    return rows.withColumn("value", value).groupBy("submission_id", "row_no").agg(
-        *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+    out = rows.withColumn("value", value).groupBy("submission_id", "row_no").agg(
+        F.bool_or("_keyed").alias("_keyed"), *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+    # each row of a workbook without the account column is a borrower of its own
+    own = F.when(F.col("_keyed"), F.col("ac_no")).otherwise(F.concat(F.lit("row"), F.col("row_no")))
+    return out.withColumn("ac_no", own).drop("_keyed")
+
+
+def field_places(cells: DataFrame, spec: FlatSheet) -> DataFrame:
+    """(submission_id, field_key, column): the letter of the column behind each input, and behind each derived field that of the
+    first input it has; one row a field of a submission."""
+    bound = bind_columns(cells, spec).select("submission_id", F.col("key").alias("field_key"), "col_no")
+    if spec.sources:
+        rows = [(wire, k, key) for wire, keys in spec.sources.items() for k, key in enumerate(keys)]
+        wires = cells.sparkSession.createDataFrame(rows, "wire string, ord int, field_key string")
+        derived = bound.join(F.broadcast(wires), "field_key").groupBy("submission_id", "wire").agg(F.min_by("col_no", "ord").alias("col_no"))
+        derived = derived.select("submission_id", F.col("wire").alias("field_key"), "col_no")
+        bound = bound.join(derived, ["submission_id", "field_key"], "left_anti").unionByName(derived)
+    return bound.select("submission_id", "field_key", column_letter(F.col("col_no")).alias("column"))
+
+
+def located(issues: DataFrame, places: DataFrame) -> DataFrame:
+    """Issues with the sheet column of their field in their own workbook.  A field that a third of all issues is about is spread by
+    salts; small relations are broadcast after a count."""
+    named = places.withColumnRenamed("column", "_column")
+    keys = ["submission_id", "field_key"]
+    if small_enough(named):
+        joined = issues.join(F.broadcast(named), keys, "left")
+    else:
+        salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SUBMISSION_SALTS - 1))))
+        joined = issues.withColumn("_salt", F.pmod(F.xxhash64("row_number", "tag", "message"), F.lit(SUBMISSION_SALTS)).cast("int"))
+        joined = joined.join(salted, [*keys, "_salt"], "left")
+    on_row = F.when(F.col("row_number") > 0, F.col("_column"))
+    return joined.withColumn("column", F.coalesce("column", on_row)).select(*issues.columns)
+
 
+def sheets_seen(cells: DataFrame) -> DataFrame:
+    """(submission_id, seen): the sheets of each workbook in their order, quoted; a name needs no cells to be seen."""
+    names = cells.filter(F.col("sheet").isNotNull()).groupBy("submission_id", "sheet").agg(F.min("sheet_ord").alias("o"))
+    listed = names.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct("o", "sheet"))).alias("s"))  # sheets of one workbook
+    return listed.select("submission_id", F.array_join(F.transform("s", lambda x: F.concat(F.lit('"'), x["sheet"], F.lit('"'))), ", ").alias("seen"))
 
-def lineage(cells: DataFrame, spec: FlatSheet) -> DataFrame:
-    """(submission_id, source_columns): column letter behind each input and each derived wire field."""
-    bound = bind_columns(cells, spec).withColumn("letter", column_letter(F.col("col_no")))
-    maps = bound.groupBy("submission_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "letter"))).alias("m"))
-    derived = F.array(*[
-        F.struct(F.lit(wire).alias("key"), F.coalesce(*[F.try_element_at("m", F.lit(k)) for k in keys]).alias("value"))
-        for wire, keys in spec.sources.items()]) if spec.sources else None
-    if derived is None:
-        return maps.withColumnRenamed("m", "source_columns")
-    extra = F.filter(derived, lambda d: d["value"].isNotNull())
-    plain = F.filter(F.map_entries("m"), lambda e: ~F.exists(extra, lambda d: d["key"] == e["key"]))
-    return maps.select("submission_id", F.map_from_entries(F.concat(plain, extra)).alias("source_columns"))
-
-
-def locate_issues(issues: DataFrame, lineage_maps: DataFrame, small: bool) -> DataFrame:
-    """Fill the sheet column of issues from per-workbook lineage."""
-    from ..operators.partitioning import by_submission
-    joined = by_submission(issues, lineage_maps, small, ("row_number", "field_key", "message"), "left")
-    return joined.withColumn("column", F.coalesce("column", F.try_element_at("source_columns", F.col("field_key")))).select(
-        *issues.columns)
+
+def missing_sheet_issues(cells: DataFrame, values: DataFrame, fmt: Format) -> DataFrame:
+    """One finding, which no one may let through, for each workbook without the layout's data sheet; it names the sheets seen.
+
+    ``cells`` are a reader's, ``values`` the same after ``normal_cells``."""
+    spec = fmt.flat_sheet
+    found = resolve_sheets(values, spec).select("submission_id")
+    lost = sheets_seen(cells).join(found, "submission_id", "left_anti")
+    wanted = ", ".join(f'"{h}"' for h in list(spec.headers)[:3])
+    hint = f" (such as {wanted})" if spec.match == "prefix" and wanted else ""
+    text = F.concat(F.lit(f'No sheet is named "{spec.sheet}" or holds its columns{hint}; sheets seen: '), F.col("seen"), F.lit("."))
+    return whole_file_issues(lost.withColumns({"sheet": F.lit(None).cast("string"), "row_no": F.lit(None).cast("long")}), fmt, text)

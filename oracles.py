@@ -366,6 +366,16 @@ ORACLES |= {
     "lineage_cells": f"with {_BOOKS} select submission_id, field, letter from books, lateral (values ('borrowerName', 'A'), ('accountNumber', 'B'), ('businessCategory', chr((68 + n % 3)::int)), ('businessIndustryType', 'I')) t(field, letter)",
 }
 
+_MISSING = "(values (0, 'error', 'AS', 'Address Line 1'), (1, 'error', 'CR', 'Facility / Loan Activation / Sanction Date'), (2, 'error', 'CR', 'Sanctioned Amount/ Notional Amount of Contract'), " \
+           "(3, 'error', 'CR', 'Asset Classification/Number of days past due NDPD'), (4, 'warning', 'BS', 'businessCategory')) f(k, severity, sheet, field)"
+_BOOK_ROWS = "b as (select 'W' || c_nationkey as submission_id, c_nationkey % 5 + 2 + c_custkey as row, c_nationkey % 3 as shift, c_mktsegment as segment, c_custkey as ck, c_name from customer)"
 ORACLES |= {
+    "workbook_issue_listing": f"""with {_BOOK_ROWS} select submission_id, row_number() over (partition by submission_id order by severity, row, k) as n, severity, sheet, row, case when k = 4 then chr((68 + shift)::int) end as column,
+        case when k = 4 then chr((68 + shift)::int) || row else '' end as cell, field, case when k = 4 then 'Business Category: the legend has no entry for "' || segment || '".' else field || ': a value must be given' end as message
+        from b, {_MISSING}""",
+    "workbook_records": f"""with {_BOOK_ROWS} select submission_id, 1 as band, 'r' || row as ac_no, tag, record from b, lateral (values
+          ('BS', 'BS|HO||' || c_name || repeat('|', 24)), ('AS', 'AS|01|||||||||079|||||||'), ('CR', 'CR|ACC' || ck || '||||INR||||0|||||||0||||||||||||||||||0||00||||||||')) t(tag, record)
+        union all select submission_id, 0, '', 'HD', 'HD|MBR' || submission_id || '||05082026|31072026|ME|' from b group by 1
+        union all select submission_id, 2, '', 'TS', 'TS|' || count(*) || '|' || count(*) || '|' from b group by 1""",
     "stream_read_back": f"select submission_id, tag, record, count(*) as records from ({TUDF}) group by all",
 }
