@@ -91,8 +91,25 @@ _STATES_BY_CODE = {code: [n for n, c in _NEEDLES if c == code and n in set(_LONG
 _CITIES_BY_LENGTH = _by_length([n for n in _CITIES if typo_budget(len(n)) > 0])
 
 
-def _runs(lower: Column, names: Callable[[Column], Column]) -> Column:
-    """Runs of one to three words that nearly spell one of the names offered for them, by where they end;
+def _pieces(name: str) -> list[str]:
+    """The name in one piece more than its typo budget: a text within the budget holds one of them unchanged."""
+    parts = typo_budget(len(name)) + 1
+    cuts = [len(name) * i // parts for i in range(parts + 1)]
+    return [name[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+# What must stand in a text for any near miss of one of a state's spellings.
+_PIECES_BY_CODE = {code: sorted({p for n in names for p in _pieces(n)}) for code, names in _STATES_BY_CODE.items() if names}
+
+
+def _may_misspell(words: Column, circle: Column) -> Column:
+    """Whether the words, a blank between each, hold a piece of a spelling of the circle's state: a few searches for plain text decide
+    most addresses, before any run of words is built or measured."""
+    return let(F.array_join(words, " "), lambda text: F.exists(lookup_list(_PIECES_BY_CODE, circle), lambda p: F.contains(text, p)))
+
+
+def _runs(words: Column, names: Callable[[Column], Column], since: Column) -> Column:
+    """Runs of one to three words that nearly spell one of the names offered for them, by where they end, from the word ``since`` on;
     structs (last, first, name) of word ordinals, the earliest start of a run with the same end only."""
     def ending(words: Column) -> Callable[[Column], Column]:
         def at(last: Column) -> Column:
@@ -104,22 +121,26 @@ def _runs(lower: Column, names: Callable[[Column], Column]) -> Column:
         return at
 
     def search(words: Column) -> Column:
-        ends = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+        ends = F.sequence(since, F.greatest(F.size(words), F.lit(1)))
         return F.filter(F.transform(ends, ending(words)), lambda r: r.isNotNull())
 
-    return let(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0)), search)
+    return search(words)
 
 
 def fuzzy_state(lower: Column, circle: Column) -> Column:
     """A misspelt state confirmed by the PIN's circle: struct(last, first, code), word ordinals.
 
-    The last near miss in the text decides.  The few spellings of the circle's own state are tried first;
-    only if one of them fits are all spellings searched for a later near miss."""
-    own = _runs(lower, lambda r: lookup_list(_STATES_BY_CODE, circle))
-    every = _runs(lower, lambda r: lookup_list(_STATES_BY_LENGTH, F.length(r).cast("string")))
-    last = F.when(F.size(own) > 0, F.try_element_at(every, F.lit(-1)))
-    return let(last, lambda r: F.struct(r["last"].alias("last"), r["first"].alias("first"),
-                                        lookup(_STATE_BY_NAME, r["name"]).alias("code")))
+    The last near miss in the text decides.  The few spellings of the circle's own state are tried first; only if one of them fits
+    are all spellings searched, from there on."""
+    def search(words: Column) -> Column:
+        own = let(lookup_list(_STATES_BY_CODE, circle), lambda names: F.try_element_at(_runs(words, lambda r: names, F.lit(1)), F.lit(-1)))
+        near = F.when(F.coalesce(_may_misspell(words, circle), F.lit(False)), own)
+        # a later near miss of any state ends where the last one of the own state does, or after it
+        last = let(near, lambda o: F.when(o.isNotNull(), F.try_element_at(
+            _runs(words, lambda r: lookup_list(_STATES_BY_LENGTH, F.length(r).cast("string")), o["last"]), F.lit(-1))))
+        return let(last, lambda r: F.when(r.isNotNull(), F.struct(r["last"].alias("last"), r["first"].alias("first"), lookup(_STATE_BY_NAME, r["name"]).alias("code"))))
+
+    return let(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0)), search)
 
 
 def _word_offset(lower: Column, ordinal: Column) -> Column:

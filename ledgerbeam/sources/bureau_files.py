@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.partitioning import running, in_blocks
 from ..operators.segments import SHEET_STRIDE
 from ..specs.model import Format, Segment
+from ..storage import file_paths
 
 
 def _latin1(c: str) -> Column:
@@ -22,7 +23,7 @@ def _submission(path: Column) -> Column:
 
 def read_pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """(submission_id, file, block_start, piece_ord, piece) split at a separator; the order columns give file order."""
-    raw = spark.read.option("lineSep", separator).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("lineSep", separator).option("recursiveFileLookup", True).text(file_paths(spark, path))
     return raw.select(
         _submission(F.col("_metadata.file_path")).alias("submission_id"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("piece_ord"),

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.cross_rows import whole_file_issues
 from ..operators.partitioning import by_submission, cut, small_enough
 from ..specs.model import Format
+from ..storage import file_paths
 from .bureau_files import _submission
 
 #: Bytes of a block, but for what comes with its last cut.
@@ -146,7 +147,7 @@ def _gather(end: bytes):
 
 def read_blocks(spark: SparkSession, path: str, end: str) -> DataFrame:
     """(submission_id, file, reach, block_start, n, body): all bytes of the files below a path in blocks, in file order."""
-    raw = spark.read.option("lineSep", end).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("lineSep", end).option("recursiveFileLookup", True).text(file_paths(spark, path))
     pieces = raw.select(_submission(F.col("_metadata.file_path")).alias("submission_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"),
                         F.col("_metadata.file_block_start").alias("block_start"), F.col("value").cast("binary").alias("piece"))
     blocks = cut(pieces.mapInArrow(_gather(end.encode()), _BLOCK), "stream")
