@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean
 from ..specs.model import Format
 from .citations import citation
-from .partitioning import attach, group_value
+from .partitioning import attach, cut, group_value
 from .segments import ORDER, value
 from .validate import ISSUE_COLUMNS
 
@@ -90,6 +90,7 @@ def duplicate_accounts(segments: DataFrame, fmt: Format, hot_rows: int | None =
     rows = segments.filter(F.col("tag") == "CR").select(
         "submission_id", "ac_no", "row_no", "sheet", *ORDER, clean(value(cr, "accountNumber")).alias("account")
     ).filter("account is not null")
+    rows = cut(rows, "accounts")  # read three times below; a few narrow columns
     place = F.struct(*ORDER)
     keys = ("submission_id", "account")
     firsts = group_value(rows, keys, F.min(place).alias("first_place"), F.min_by("row_no", place).alias("first_row"))

@@ -15,6 +15,7 @@ HOT_ROWS = 1_000_000
 SMALL_SIDE_ROWS = 200_000
 # Copies of a larger side, one per salt of the big side.
 SUBMISSION_SALTS = 64
+_cuts: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +36,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes the tables that ``cut`` has written in this process. Call it when the results built on them are written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _cuts:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def group_value(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     """One row per key with the aggregates and ``_n``, its row count (combined map-side)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *aggs)
@@ -48,7 +58,8 @@ def attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], row_key: Seque
     """Join per-key values from ``group_value`` back to the rows without piling a hot key on one task.
 
     A key with n rows gets ceil(n / hot_rows) salts; its value row is repeated per salt and its rows are
-    dealt out by a hash of ``row_key``.  The broadcast list holds hot keys only, at most
+    dealt out by a hash of ``row_key``.  ``df`` is read three times (for its groups, their hot ones and the rows), so give a
+    written cut where it costs more than a scan.  The broadcast list holds hot keys only, at most
     total_rows / hot_rows of them (200,000 for 100 TB of 500-byte rows)."""
     salts = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int")
     hot = groups.filter(F.col("_n") > hot_rows).select(*keys, salts.alias("_salts"))
@@ -84,7 +95,8 @@ def in_blocks(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     Blocks follow the order; a large submission spans many of them.  The written cut makes the block
     numbers stable for every later reader."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, "submission_id", *order).withColumn("block", F.spark_partition_id())
+    settled = cut(df, "unordered")  # choosing the ranges reads the rows once more than dealing them out
+    ranged = settled.repartitionByRange(n, "submission_id", *order).withColumn("block", F.spark_partition_id())
     return cut(ranged, "blocks")
 
 

@@ -12,7 +12,7 @@ from ..functions.amounts import number_text
 from ..functions.dates import typed_date_text
 from ..functions.text import clean
 from ..specs.model import DATE, NUMBER, Format, Segment
-from .partitioning import attach, group_value
+from .partitioning import attach, cut, group_value
 
 NOTE_TYPE = "array<struct<field_key:string,message:string,severity:string,rule:string,bypassable:boolean>>"
 # Position of a segment inside its file, most significant first.
@@ -131,11 +131,19 @@ def segment_sheet(df: DataFrame, fmt: Format, tag: str) -> DataFrame:
         values_of(seg, given).alias("values"), notes().alias("notes"))
 
 
-def union_sheets(*sheets: DataFrame) -> DataFrame:
-    """All segment sheets of a batch, with each borrower's first-seen position as ``first_ord``."""
+def stack_sheets(*sheets: DataFrame) -> DataFrame:
+    """All segment sheets of a batch, without the positions of borrowers: enough for counts, and nothing is shuffled."""
     rows = sheets[0]
     for s in sheets[1:]:
         rows = rows.unionByName(s)
+    return rows
+
+
+def union_sheets(*sheets: DataFrame) -> DataFrame:
+    """All segment sheets of a batch, with each borrower's first-seen position as ``first_ord``.
+
+    The sheets are read and mapped once, into a written cut; positions come from two of its columns."""
+    rows = cut(stack_sheets(*sheets), "sheets")
     first = group_value(rows, ("submission_id", "ac_no"), F.min("seq").alias("first_ord"))
     return attach(rows, first, ("submission_id", "ac_no"), ("seq",)).select(*ENVELOPE)
 

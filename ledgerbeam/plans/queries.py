@@ -16,7 +16,7 @@ from ..operators import assemble, cross_rows, encode, gate, guarantors, intake_c
 from ..operators.consumer_form import explode_form
 from ..operators.master_sheet import explode_book
 from ..operators.partitioning import cut, numbered
-from ..operators.segments import ORDER, as_columns, flat_records, segment_sheet, union_sheets, value
+from ..operators.segments import ORDER, as_columns, flat_records, segment_sheet, stack_sheets, union_sheets, value
 from ..sinks.reports import borrower_index, preview
 from ..sources import sheets
 from ..specs import commercial, consumer, microfinance
@@ -34,11 +34,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _segment_sheets(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The three commercial segment sheets."""
+    return [segment_sheet(B.borrower_sheet(spark, sf), TEMPLATE, "BS"), segment_sheet(B.address_sheet(spark, sf), TEMPLATE, "AS"),
+            segment_sheet(B.facility_sheet(spark, sf), TEMPLATE, "CR")]
+
+
 def _sheets(spark: SparkSession, sf: str) -> DataFrame:
     """The three commercial segment sheets as one envelope."""
-    return union_sheets(segment_sheet(B.borrower_sheet(spark, sf), TEMPLATE, "BS"),
-                        segment_sheet(B.address_sheet(spark, sf), TEMPLATE, "AS"),
-                        segment_sheet(B.facility_sheet(spark, sf), TEMPLATE, "CR"))
+    return union_sheets(*_segment_sheets(spark, sf))
 
 
 def _mfi(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,12 +139,12 @@ def one_line_blocks(spark, sf):
 
 @query
 def file_counts(spark, sf):
-    return assemble.file_counts(_sheets(spark, sf), TEMPLATE)
+    return assemble.file_counts(stack_sheets(*_segment_sheets(spark, sf)), TEMPLATE)
 
 
 @query
 def borrower_tag_counts(spark, sf):
-    return cross_rows.tag_counts(_sheets(spark, sf))
+    return cross_rows.tag_counts(stack_sheets(*_segment_sheets(spark, sf)))
 
 
 @query
@@ -163,7 +167,7 @@ def upload_positions(spark, sf):
 
 @query
 def header_trailer(spark, sf):
-    meta, counts = B.submissions(spark, sf), assemble.file_counts(_sheets(spark, sf), TEMPLATE)
+    meta, counts = B.submissions(spark, sf), assemble.file_counts(stack_sheets(*_segment_sheets(spark, sf)), TEMPLATE)
     fmt = get_format("commercial-ucrf-flat-v310")
     return assemble.header_records(meta, fmt).unionByName(assemble.trailer_records(meta, counts, fmt)).select(
         "submission_id", "band", "tag", "record")
