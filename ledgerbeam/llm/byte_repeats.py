@@ -53,13 +53,13 @@ def repeated_in_shard(text: np.ndarray, at: np.ndarray, sizes: np.ndarray, whole
 def remove_repeated_bytes(docs: DataFrame, text: str = "text", least: int = 400, scratch: Scratch | None = None) -> DataFrame:
     """`docs` with `kept` (binary: the bytes that stay) and `removed` (maximal removed stretches of bytes, start and stop)."""
     kind = BYTES if least == BYTES.window else replace(BYTES, window=least, grams=grams(least))
-    marked = with_repeats(docs, text, kind, repeated_in_shard, scratch or Scratch(docs.sparkSession, "byte-repeats"))
+    marked, repeats = with_repeats(docs, text, kind, repeated_in_shard, scratch or Scratch(docs.sparkSession, "byte-repeats"))
     columns = [c for c in docs.columns if c not in ("kept", "removed")]
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("kept", T.BinaryType()), T.StructField("removed", SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, text):
-            gone = covered(batch.column("_repeats"), offsets, least)
+            gone = covered(batch.column(repeats), offsets, least)
             kept, left = data[~gone].tobytes(), np.append(0, np.cumsum(~gone))[offsets]
             bodies = pa.array([kept[a:b] for a, b in zip(left[:-1], left[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], bodies, spans_of(gone, offsets)], [*columns, "kept", "removed"])

@@ -203,11 +203,11 @@ def _join(percent: int):
 
 
 def _classes(docs: DataFrame, id_column: str, text: str, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """`docs` with two digests of all columns in front, and (pid, pid2, id, n, class) of each row; class is null for empty sets."""
+    """Two digests of all columns with the `row`, and (pid, pid2, id, n, class) of each row; class is null for empty sets."""
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.xxhash64(*docs.columns).alias("pid"), F.hash(*docs.columns).alias("pid2"), *docs.columns)
-    texts = keyed.select(*KEY, F.col(id_column).alias("id"), F.col(text).alias("body"))
+    keyed = docs.select(F.xxhash64(*docs.columns).alias("pid"), F.hash(*docs.columns).alias("pid2"), F.struct(*docs.columns).alias("row"))
+    texts = keyed.select(*KEY, F.col("row").getField(id_column).alias("id"), F.col("row").getField(text).alias("body"))
     kind = docs.schema[id_column].dataType.simpleString()
     sketch = scratch.cut(texts.mapInArrow(_sketch(size), f"pid long, pid2 int, id {kind}, n long, sid long, least array<long>"), "sketch")
     sets = sketch.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.min(F.struct(*KEY)).alias("one"), F.max("least").alias("least"))
@@ -247,4 +247,4 @@ def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     keyed, rows = _classes(docs, id_column, text, size, percent, scratch or Scratch(docs.sparkSession, "jaccard"))
     first = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *KEY)).alias("one"))
     stay = first.select("one.pid", "one.pid2").union(rows.where(F.col("class").isNull()).select(*KEY).distinct())
-    return keyed.join(stay, KEY).dropDuplicates(KEY).select(*docs.columns)
+    return keyed.join(stay, KEY).dropDuplicates(KEY).select("row.*")

@@ -120,11 +120,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", known:
     known = F.broadcast(known_licences(docs.sparkSession)) if known is None else known
     outputs = ("text_sha256", "license_id", "notices")
     columns = [c for c in docs.columns if c not in (text, *outputs)]
-    form = docs.select(*columns, canonical(F.col(text)).alias("_form"))
+    form = docs.select(F.struct(*columns).alias("row"), F.col(id_column).alias("_id"), canonical(F.col(text)).alias("_form"))
     form = form.withColumn("text_sha256", F.sha2(whole(F.col("_form")), 256))
-    lines = form.select(F.col(id_column).alias("_id"), F.col("text_sha256").alias("_sha"), F.explode(F.split("_form", "\n")).alias("_line")).where("_line <> ''")
+    lines = form.select("_id", F.col("text_sha256").alias("_sha"), F.explode(F.split("_form", "\n")).alias("_line")).where("_line <> ''")
     named = lines.select("_id", "_sha", F.sha2(F.trim("_line"), 256).alias("digest")).join(known, "digest")
-    named = named.groupBy("_id", "_sha").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))  # few ids at most
+    named = named.groupBy(F.col("_id").alias("_of"), "_sha").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))  # few ids at most
     found = form.drop("_form").join(known.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
-    found = found.join(named, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")), "left")
-    return found.select(*columns, "text_sha256", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    found = found.join(named, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("text_sha256") == F.col("_sha")), "left")
+    return found.select("row.*", "text_sha256", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

@@ -25,7 +25,7 @@ from .symbols import WHITE, gram_digests, mix, slices, span_digests, word_bounds
 
 #: Labelled texts of each kind that the weights are fitted on at most: those with the least digest of their id.
 SAMPLE_ROWS = 1500
-#: Texts with more lines are not fitted on (they are decoded as all others).
+#: Lines of a text that are fitted on at most, the first ones (all lines of all texts are decoded).
 SAMPLE_LINES = 200
 ROUNDS = 3
 #: A text stays if at least this share of its words stands on content lines.
@@ -168,17 +168,18 @@ class Field:
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> Field:
-    """Weights from at most `rows` labelled texts of each kind. Only features of their lines reach the driver."""
+    """Weights from at most `rows` labelled texts of each kind, and of a longer text from its first `SAMPLE_LINES` lines, so that long texts
+    teach too. Only features of these lines reach the driver."""
     picked = None
     for value in (0, 1):
         part = labels.where(F.col(label) == value).select(F.col(id_column).alias("_id"), F.col(label).alias("_label")).orderBy(F.xxhash64(id_column), id_column).limit(rows)
         picked = part if picked is None else picked.union(part)
-    sample = docs.join(F.broadcast(picked.dropDuplicates(["_id"])), docs[id_column].eqNullSafe(F.col("_id"))).select(F.col(text).alias("text"), F.col("_label").cast("int").alias("label"))
+    sample = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked.dropDuplicates(["_id"])), F.col("id").eqNullSafe(F.col("_id"))).select("text", F.col("_label").cast("int").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):
             lines = read_lines(data, offsets)
-            few = np.bincount(lines.row, minlength=batch.num_rows)[lines.row] <= SAMPLE_LINES
+            few = np.arange(len(lines.row)) - np.searchsorted(lines.row, lines.row) < SAMPLE_LINES
             first = np.append(True, lines.row[1:] != lines.row[:-1]) if len(lines.row) else np.zeros(0, bool)
             take = pa.array(lines.row[few])
             yield pa.record_batch([pa.array(lines.codes[few]), pa.array(first[few]), batch.column("label").take(take)], ["code", "first", "label"])

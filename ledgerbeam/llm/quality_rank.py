@@ -97,7 +97,7 @@ def fit_ranking(docs: DataFrame, labels: DataFrame, id_column: str, text: str, l
     """Weights from at most `rows` labelled texts of each kind, whose features reach the driver; the threshold from all labelled texts."""
     parts = [labels.where(F.col(label) == value).select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64(id_column), id_column).limit(rows) for value in (0, 1)]
     picked = F.broadcast(parts[0].union(parts[1]).dropDuplicates(["_id"]))
-    sample = docs.join(picked, docs[id_column] == picked["_id"]).select(F.col(text).alias("text"), F.col("_id"), F.col("_label"))
+    sample = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(picked, "_id").select("text", "_id", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, free_name
 from .symbols import WHITE, byte_digests, gram_digests, run_digests, slices, span_digests, text_bytes, word_bounds
 
 #: Different segments of one digest that meet in one shard at most; beyond it the digest is cut again.
@@ -211,17 +211,18 @@ def repeated_windows(texts: DataFrame, kind: Kind, decide: Callable, scratch: Sc
     return met.join(found, ["least", "sid"]).select(*KEY, (F.col("first") + F.col("from")).alias("first"), F.col("count").alias("n"))
 
 
-def with_repeats(docs: DataFrame, text: str, kind: Kind, decide: Callable, scratch: Scratch) -> DataFrame:
-    """`docs` with an array `_repeats` of (first, n): its stretches of repeated windows; null where it has none.
+def with_repeats(docs: DataFrame, text: str, kind: Kind, decide: Callable, scratch: Scratch) -> tuple[DataFrame, str]:
+    """`docs` with an array of (first, n), its stretches of repeated windows, null where it has none; and the name of that column.
 
     A row is known by two digests of all its columns, so that equal rows get equal stretches and a task that runs again finds
     the same rows."""
     columns = docs.columns
-    keyed = docs.select(F.xxhash64(*columns).alias("pid"), F.hash(*columns).alias("pid2"), *columns)
-    texts = keyed.select(*KEY, F.lit(1).cast("long").alias("copies"), F.col(text).cast("binary").alias("body"))
+    keyed = docs.select(F.xxhash64(*columns).alias("pid"), F.hash(*columns).alias("pid2"), F.struct(*columns).alias("row"))  # no name of theirs meets ours
+    texts = keyed.select(*KEY, F.lit(1).cast("long").alias("copies"), F.col("row").getField(text).cast("binary").alias("body"))
     found = repeated_windows(texts, kind, decide, scratch)
-    found = found.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("first", "n")).alias("_repeats"))
-    return keyed.join(found, KEY, "left").select(*columns, "_repeats")
+    found = found.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("first", "n")).alias("found"))
+    name = free_name("_repeats", columns)
+    return keyed.join(found, KEY, "left").select("row.*", F.col("found").alias(name)), name
 
 
 def covered(repeats: pa.Array, rows: np.ndarray, window: int) -> np.ndarray:

@@ -33,6 +33,13 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, or with underscores behind it if a column is called so; columns differ by more than the case of letters."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node of the edges (a, b): the smallest node that links reach.
 

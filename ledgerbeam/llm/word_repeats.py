@@ -62,7 +62,7 @@ def repeated_in_shard(text: np.ndarray, at: np.ndarray, sizes: np.ndarray, whole
 def remove_repeated_words(docs: DataFrame, text: str = "text", window: int = 35, scratch: Scratch | None = None) -> DataFrame:
     """`docs` with `n_words`, `kept` (the words that stay, joined by one space) and `removed` (maximal removed stretches of words)."""
     kind = WORDS if window == WORDS.window else replace(WORDS, window=window, grams=grams(window))
-    marked = with_repeats(docs, text, kind, repeated_in_shard, scratch or Scratch(docs.sparkSession, "word-repeats"))
+    marked, repeats = with_repeats(docs, text, kind, repeated_in_shard, scratch or Scratch(docs.sparkSession, "word-repeats"))
     outputs = ("n_words", "kept", "removed")
     columns = [c for c in docs.columns if c not in outputs]
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("n_words", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("removed", SPANS)])
@@ -70,7 +70,7 @@ def remove_repeated_words(docs: DataFrame, text: str = "text", window: int = 35,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, text):
             starts, ends, rows = word_bounds(data, offsets, WHITE)
-            gone = covered(batch.column("_repeats"), rows, window)
+            gone = covered(batch.column(repeats), rows, window)
             # kept words with a space after each: bytes of kept words, and one more byte each that is made a space
             length = np.where(gone, 0, ends - starts + 1)
             place = np.append(0, np.cumsum(length))
