@@ -17,7 +17,9 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
 
 def shared_path(spark, path: str) -> str:
     """The path, if all executors can mean the same by it: on a cluster it must name its file system."""
-    if "://" not in path and not path.startswith("file:") and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    one_machine = master == "local" or master.startswith("local[")
+    if "://" not in path and not path.startswith("file:") and not one_machine:
         raise ValueError(f"{path}: name the file system (such as s3:// or hdfs://); without one each executor opens its own disk")
     return path
 
