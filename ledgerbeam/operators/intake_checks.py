@@ -20,20 +20,19 @@ PATTERNS = {
     "amount": r"^[0-9]+(\.[0-9]+)?$",
 }
 # Kind of every template input.
-KINDS = dict(
-    pair.split(":")
-    for pair in """
-borrowerName:text pan:pan classOfActivity:text borrowerAddressLine1:text borrowerAddressLine2:text
-borrowerAddressLine3:text borrowerCity:city borrowerDistrict:text borrowerPin:pin borrowerMobile:mobile
-borrowerStdCode:std borrowerLandline:landline accountNumber:account sanctionDate:date sanctionedAmount:amount
-drawingPower:amount currentBalance:amount amountOverdue:amount wilfulDefaultDate:date relatedName:text
-relatedDob:date relatedPan:pan relatedAddressLine1:text relatedAddressLine2:text relatedAddressLine3:text
-relatedCity:city relatedDistrict:text relatedPin:pin relatedMobile:mobile relatedStdCode:std
-relatedLandline:landline securityValue:amount legalConstitution:list businessCategory:list
-businessIndustryType:list locationType:list repaymentFrequency:list assetClassification:list
-accountStatus:list relationshipType:list securityType:list securityClass:list
-""".split()
-)
+KINDS = {
+    "borrowerName": "text", "pan": "pan", "classOfActivity": "text", "borrowerAddressLine1": "text",
+    "borrowerAddressLine2": "text", "borrowerAddressLine3": "text", "borrowerCity": "city", "borrowerDistrict": "text",
+    "borrowerPin": "pin", "borrowerMobile": "mobile", "borrowerStdCode": "std", "borrowerLandline": "landline",
+    "accountNumber": "account", "sanctionDate": "date", "sanctionedAmount": "amount", "drawingPower": "amount",
+    "currentBalance": "amount", "amountOverdue": "amount", "wilfulDefaultDate": "date", "relatedName": "text",
+    "relatedDob": "date", "relatedPan": "pan", "relatedAddressLine1": "text", "relatedAddressLine2": "text",
+    "relatedAddressLine3": "text", "relatedCity": "city", "relatedDistrict": "text", "relatedPin": "pin",
+    "relatedMobile": "mobile", "relatedStdCode": "std", "relatedLandline": "landline", "securityValue": "amount",
+    "legalConstitution": "list", "businessCategory": "list", "businessIndustryType": "list", "locationType": "list",
+    "repaymentFrequency": "list", "assetClassification": "list", "accountStatus": "list", "relationshipType": "list",
+    "securityType": "list", "securityClass": "list",
+}
 LISTS = dict(legalConstitution="constitution", businessCategory="category", businessIndustryType="industry",
              locationType="location", repaymentFrequency="repayment", assetClassification="asset",
              accountStatus="account_status", relationshipType="relationship", securityType="security_type",
