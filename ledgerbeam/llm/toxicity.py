@@ -6,7 +6,8 @@ a repetition or what stands between), and the Viterbi path is the likeliest unde
 texts of the corpus. Other words, and words whose path changes no letter, stay as they are written.
 
 The score weighs the evidence of words and of their first four to six bytes, as counted over a bounded sample (`SAMPLE_ROWS`) of
-the labelled texts given for learning, which no shuffle of texts is needed for: the strongest, the second strongest word and the sum of strong ones, joined by a logistic model.
+the labelled texts given for learning, which no shuffle of texts is needed for. A logistic model joins the three strongest different words,
+the sum over all strong ones, and that sum against the length of the text: long texts hold some such words by chance.
 
 A null or empty text has no evidence and scores low. Ties and repeated rows get equal scores. Without labels of both kinds nothing
 is evidence. Other columns pass through unless they are named like an output."""
@@ -32,7 +33,11 @@ SLOTS = 1 << 20
 #: Labelled texts of each kind that evidence and the logistic step are fitted on, drawn by a digest of their id; all if there are fewer.
 SAMPLE_ROWS = 20_000
 PREFIXES = (4, 5, 6)
-STRONG = 2.5
+#: Evidence of a word from which on it counts in the sums; chosen by cross-validation on rows that may be learnt from.
+STRONG = 1.7
+TOP = 3
+#: Words added to the length of a text, so that one word in a short text is no high share.
+EXTRA_WORDS = 20
 #: Letters that a character may stand for, and what a change costs.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 COST = {"same": 0.0, "look": -0.5, "repeat": -0.3, "double": -5.0, "joined": -1.0}
@@ -190,32 +195,55 @@ class Evidence:
     weights: np.ndarray
 
     def summary(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Per row: the `TOP` strongest different words, the sum over strong ones, the sum against the length, and 1."""
         found, rows = slots(data, offsets)
-        word = self.odds[found].max(axis=1) if len(found) else np.zeros(0)
-        n = len(offsets) - 1
-        out = np.zeros((n, 3))
-        some = np.flatnonzero(np.diff(rows))
-        if len(some):
-            top = np.maximum.reduceat(word, rows[some])
-            row = np.repeat(np.arange(n), np.diff(rows))
-            rest = word.copy()
-            first = np.flatnonzero(word == np.repeat(top, np.diff(rows)[some]))
-            first = first[np.append(True, row[first][1:] != row[first][:-1])]
-            rest[first] = 0
-            out[some, 0], out[some, 1] = top, np.maximum.reduceat(rest, rows[some])
-            out[:, 2] = np.log1p(np.bincount(row, np.where(word > STRONG, word, 0), n))
-        return np.column_stack([np.maximum(out, 0), np.ones(n)])
+        n, length = len(offsets) - 1, np.diff(rows)
+        row = np.repeat(np.arange(n), length)
+        different = np.unique(row * SLOTS + found[:, 0], return_index=True)[1]
+        row, word = row[different], self.odds[found[different]].max(axis=1, initial=-np.inf)
+        strongest = np.lexsort((-word, row))
+        count = np.bincount(row, minlength=n)
+        begin = np.cumsum(count) - count
+        out = np.zeros((n, TOP + 3))
+        for k in range(TOP):
+            some = count > k
+            out[some, k] = np.maximum(word[strongest[begin[some] + k]], 0)
+        total = np.bincount(row, np.where(word > STRONG, word, 0), n)
+        out[:, TOP] = np.log1p(total)
+        out[:, TOP + 1] = np.log1p(50 * total / (length + EXTRA_WORDS))
+        out[:, TOP + 2] = 1
+        return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.summary(data, offsets) @ self.weights, -40, 40)))
 
 
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: float, decay: float = 1e-4, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic model by Newton steps, each halved until the likelihood grows; the last column of `x` is 1."""
+    def value(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (y * z - np.logaddexp(0, z)) - decay / 2 * w @ w)
+
+    w = np.append(np.zeros(x.shape[1] - 1), start)
+    best = value(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + decay * np.eye(len(w)), x.T @ (weight * (y - p)) - decay * w)
+        while np.abs(step).max() > 1e-9 and not value(w + step) > best:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        w = w + step
+        best = value(w)
+    return w
+
+
 def learn_evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_column: str, text: str, label: str, smooth: float = 6.0) -> Evidence:
     """Counts slots over the sample (a text counts once in a slot), then fits the logistic step on it, weighted back to the labels' shares."""
     labels = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     totals = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
     if len(totals) < 2:
-        return Evidence(np.zeros(SLOTS, np.float32), np.array([0.0, 0, 0, -5]))
+        return Evidence(np.zeros(SLOTS, np.float32), np.append(np.zeros(TOP + 2), -5.0))
     part = F.when(F.col("_label") == 1, SAMPLE_ROWS / totals[1]).otherwise(SAMPLE_ROWS / totals[0])
     picked = labels.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < part * (1 << 30))  # about SAMPLE_ROWS of each kind, at any size
     sample = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id").select("text", "_label")
@@ -236,25 +264,20 @@ def learn_evidence(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col
     taken = [min(SAMPLE_ROWS, totals[v]) for v in (0, 1)]
     part = taken[1] / sum(taken)
     odds = np.log((toxic + smooth * part) / (taken[1] + smooth)) - np.log((clean + smooth * (1 - part)) / (taken[0] + smooth))
-    evidence, share = Evidence(odds.astype(np.float32), np.zeros(4)), totals[1] / (totals[0] + totals[1])
+    evidence, share = Evidence(odds.astype(np.float32), np.zeros(TOP + 3)), totals[1] / (totals[0] + totals[1])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for batch, data, offsets in slices(batches, "text"):
             x = evidence.summary(*restored(data, offsets, restorer))
-            yield pa.record_batch([batch.column("_label"), *[pa.array(x[:, k]) for k in range(3)]], ["label", "a", "b", "c"])
+            yield pa.record_batch([batch.column("_label"), *[pa.array(x[:, k]) for k in range(TOP + 2)]], ["label", *names])
 
-    got = sample.mapInArrow(sums, "label int, a double, b double, c double").orderBy("label", "a", "b", "c").toArrow()
-    x = np.column_stack([got.column(c).to_numpy() for c in "abc"] + [np.ones(got.num_rows)])
+    names = [f"x{k}" for k in range(TOP + 2)]
+    got = sample.mapInArrow(sums, "label int, " + ", ".join(f"{c} double" for c in names)).orderBy("label", *names).toArrow()
+    x = np.column_stack([got.column(c).to_numpy() for c in names] + [np.ones(got.num_rows)])
     y = got.column("label").to_numpy()
     weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
-    weight = weight / weight.sum()
-    w = np.array([0.0, 0, 0, math.log(share / (1 - share))])
-    for _ in range(40):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (y - p)) - 1e-4 * w
-        w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(4), slope)
-    evidence.weights = w
+    evidence.weights = logistic(x, y, weight / weight.sum(), math.log(share / (1 - share)))
     return evidence
 
 

@@ -195,6 +195,37 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r.predicted == r[label] for r in rows) >= least * len(rows)
 
 
+def test_toxic_texts_held_out_are_found_and_clean_ones_left(spark):
+    """Recall and false alarms apart, as most texts are clean."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.1"
+    rows = entry.queries()["op3_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
+    assert len(toxic) > 100 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) < 0.01 * len(clean)
+
+
+def test_logistic_weights_stay_finite_on_separable_and_equal_columns():
+    rng = np.random.default_rng(3)
+    y = (rng.random(300) < 0.2).astype(int)
+    for x in (np.column_stack([9.0 * y, 9.0 * y, np.ones(300)]), np.column_stack([np.zeros((300, 2)), np.ones(300)]), np.column_stack([rng.normal(size=(300, 2)) * 50, np.ones(300)])):
+        w = toxicity.logistic(x, y, np.full(300, 1 / 300), -1.0)
+        z = x @ w
+        slope = x.T @ (y - 1 / (1 + np.exp(-z))) / 300 - 1e-4 * w
+        assert np.isfinite(w).all() and np.abs(slope).max() < 1e-3
+
+
+def test_evidence_of_a_text_is_of_its_different_words():
+    odds = np.zeros(toxicity.SLOTS, np.float32)
+    words = [b"alpha", b"betas", b"gamma", b"delta"]
+    for k, w in enumerate(words):
+        odds[toxicity.slots(np.frombuffer(w, np.uint8), np.array([0, 5]))[0][0, 0]] = 5 - k
+    texts = [b"", b"alpha alpha alpha alpha", b"delta gamma, betas alpha!", b"... !!", b"betas"]
+    got = toxicity.Evidence(odds, np.zeros(6)).summary(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert got[:, :3].tolist() == [[0, 0, 0], [5, 0, 0], [5, 4, 3], [0, 0, 0], [4, 0, 0]]
+    assert np.allclose(got[:, 3], np.log1p([0, 5, 14, 0, 4])) and np.allclose(got[:, 4], np.log1p([0, 250 / 24, 700 / 24, 0, 200 / 21])) and (got[:, 5] == 1).all()
+
+
 def test_threshold_is_the_quantile_of_all_labelled_texts(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(["good", "words", "follow.", "x!!"], k=rng.randint(5, 60))), 1) for i in range(400)]
