@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from ..operators.cross_rows import borrower_issues, duplicate_issues, empty_issu
 from ..operators.encode import encode_rows
 from ..operators.gate import gate
 from ..operators.partitioning import by_submission, cut, small_enough
+from ..operators.rules import Rule, own_issues
 from ..operators.segments import ORDER
 from ..operators.validate import Rules, field_issues, row_issues
 from ..sources.sheets import located
@@ -48,30 +50,33 @@ def checked_segments(segments: DataFrame, fmt: Format, rules: Rules = Rules()) -
     return raw.withColumn("issues", issues).drop("wire", "notes", "raw_issues")
 
 
-def all_issues(checked: DataFrame, meta: DataFrame, fmt: Format) -> DataFrame:
-    """Mapping and field findings, borrower findings, file findings and empty submissions, as one table."""
+def all_issues(checked: DataFrame, meta: DataFrame, fmt: Format, own: Sequence[Rule] = ()) -> DataFrame:
+    """Mapping and field findings, borrower findings, file findings, those of a lender's own rules and empty submissions, as one table."""
     known = checked.filter(F.col("tag").isin(*[s.tag for s in fmt.body]))
     out = field_issues(known).unionByName(borrower_issues(checked, fmt))
     if fmt.account_rule:
         out = out.unionByName(duplicate_issues(checked, fmt))
+    if own:
+        out = out.unionByName(own_issues(checked, fmt, own))
     return out.unionByName(empty_issues(meta, checked, fmt))
 
 
 def convert_batch(segments: DataFrame, meta: DataFrame, fmt: Format, *, emit_with_errors: bool = False,
                   overrides: DataFrame | None = None, places: DataFrame | None = None,
-                  reader_issues: DataFrame | None = None, rules: Rules = Rules(), written_cut: bool = True) -> Conversion:
+                  reader_issues: DataFrame | None = None, rules: Rules = Rules(), own: Sequence[Rule] = (),
+                  written_cut: bool = True) -> Conversion:
     """Convert every submission of a batch.
 
     ``segments`` is an envelope (see operators.segments) and ``meta`` holds one row per submission.  Batches from workbooks
     go through ``plans.intake``, which brings the findings of the reader, the header cells and the ``places`` of fields in the
-    sheets; ``reader_issues`` count in the gate as all others do.  The mapped, checked and encoded rows are written once to the shared folder; counts, issues, gate and records then read
+    sheets; ``reader_issues`` and findings of ``own`` rules (see operators.rules) count in the gate as all others do.  The mapped, checked and encoded rows are written once to the shared folder; counts, issues, gate and records then read
     only the columns they need from it."""
     small = small_enough(meta.select("submission_id"))
     effective = apply_overrides(meta, overrides)
     checked = checked_segments(stamp_member(segments, effective, fmt, small), fmt, rules)
     if written_cut:
         checked = cut(checked, "checked")
-    issues = all_issues(checked, meta, fmt)
+    issues = all_issues(checked, meta, fmt, own)
     if places is not None:
         issues = located(issues, places)
     if reader_issues is not None:

@@ -5,6 +5,7 @@ columns of fields go the same way as the cells, so that none of them can be left
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.consumer_form import explode_form
 from ..operators.master_sheet import explode_book
 from ..operators.partitioning import cut
+from ..operators.rules import Rule
 from ..operators.segments import flat_records, segment_sheet, union_sheets
 from ..operators.validate import Rules
 from ..sources import sheets
@@ -49,11 +51,11 @@ def read_cells(cells: DataFrame, meta: DataFrame, fmt: Format, workbook_credit_t
     return Intake(segments, issues, sheets.field_places(values, spec), sheets.header_overrides(values, fmt))
 
 
-def convert_cells(cells: DataFrame, meta: DataFrame, fmt: Format, *, emit_with_errors: bool = False, rules: Rules = Rules(),
+def convert_cells(cells: DataFrame, meta: DataFrame, fmt: Format, *, emit_with_errors: bool = False, rules: Rules = Rules(), own: Sequence[Rule] = (),
                   workbook_credit_types: bool = False) -> Conversion:
     taken = read_cells(cells, meta, fmt, workbook_credit_types)
     return convert_batch(taken.segments, meta, fmt, emit_with_errors=emit_with_errors, overrides=taken.overrides, places=taken.places,
-                         reader_issues=taken.issues, rules=rules)
+                         reader_issues=taken.issues, rules=rules, own=own)
 
 
 def convert_workbooks(spark: SparkSession, folder: str, meta: DataFrame, fmt: Format, **options) -> Conversion:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,12 @@ from ..operators import assemble, cross_rows, encode, gate, guarantors, intake_c
 from ..operators.consumer_form import explode_form
 from ..operators.master_sheet import explode_book
 from ..operators.partitioning import cut, numbered
+from ..operators.rules import BORROWER, FILE, ROW, Rule
 from ..operators.segments import ORDER, as_columns, flat_records, segment_sheet, stack_sheets, union_sheets, value
 from ..sinks.reports import borrower_index, preview
 from ..sources import sheets
 from ..specs import commercial, consumer, microfinance
+from ..specs.model import Format
 from ..specs.registry import get_format
 from . import sample_book as B
 from .convert import all_issues, checked_segments, convert_batch
@@ -283,6 +286,35 @@ def duplicate_accounts(spark, sf):
     return cross_rows.duplicate_accounts(_sheets(spark, sf), TEMPLATE).select("submission_id", "ac_no", "row_no", "account", "first_row")
 
 
+#: Rules that a lender might add: one on a row, one across a borrower's segments, one on rows that share a day, one on a whole file.
+OWN_RULES = (
+    Rule("yen-account", ROW, {"CR": ("currencyCode", "accountNumber")}, lambda read: (read("CR.currencyCode") == "JPY") & F.startswith(read("CR.accountNumber"), F.lit("C")),
+         lambda read: F.concat(F.lit("Account "), read("CR.accountNumber"), F.lit(" is in yen.")), field_key="accountNumber", severity="warning"),
+    Rule("yen-without-phone", BORROWER, {"AS": ("mobileNumber",), "CR": ("currencyCode",)}, lambda read: (read("mobile") == "12") & (read("yen") > 0),
+         lambda read: F.concat(F.lit("Phone "), read("mobile"), F.lit(" for "), read("yen").cast("string"), F.lit(" of "), read("loans").cast("string"), F.lit(" loans.")),
+         totals={"mobile": lambda read: F.min(read("AS.mobileNumber")), "yen": lambda read: F.count_if(read("CR.currencyCode") == "JPY"), "loans": lambda read: F.count_if(read.rows("CR"))}),
+    Rule("busy-day", FILE, {"CR": ("sanctionDate", "currencyCode")}, lambda read: (read("n") > 2) & (read("CR.currencyCode") == "JPY"),
+         lambda read: F.concat(read("n").cast("string"), F.lit(" loans on one day.")), totals={"n": lambda read: F.count(F.lit(1))}, key=lambda read: read("CR.sanctionDate"),
+         field_key="sanctionDate", bypassable=False),
+    Rule("share-of-yen", FILE, {"CR": ("currencyCode",)}, lambda read: 100 * read("yen") > 11 * read("n"), lambda read: F.concat(read("yen").cast("string"), F.lit(" of "), read("n").cast("string")),
+         totals={"yen": lambda read: F.count_if(read("CR.currencyCode") == "JPY"), "n": lambda read: F.count(F.lit(1))}),
+)
+
+
+def dated_defaults(fmt: Format) -> Format:
+    """The layout with a condition of a lender's own: the date of a wilful default is mandatory where its status is 1."""
+    cr = fmt.segment("CR").with_field("wilfulDefaultDate", required=True, when=lambda get: get("wilfulDefaultStatus") == "1")
+    return replace(fmt, body=tuple(cr if s.tag == "CR" else s for s in fmt.body))
+
+
+@query
+def own_rules(spark, sf):
+    """Findings of a lender's rules of each scope, and of a condition on a mandatory field, among those of a conversion."""
+    done = convert_batch(_sheets(spark, sf), B.submissions(spark, sf), dated_defaults(TEMPLATE), emit_with_errors=True, own=OWN_RULES)
+    wanted = done.issues.filter(F.col("rule").isin(*[r.name for r in OWN_RULES]) | ((F.col("rule") == "mandatory") & (F.col("field_key") == "wilfulDefaultDate")))
+    return wanted.select("submission_id", "tag", "ac_no", "row_number", "field_key", "rule", "severity", "value", "bypassable", F.when(F.col("rule") != "mandatory", F.col("message")).alias("message"))
+
+
 @query
 def issue_listing(spark, sf):
     listing = rollup.issue_listing(_issues(spark, sf))

@@ -21,7 +21,7 @@ class Field:
     label: str
     kind: str = TEXT
     required: bool = False
-    when: str | None = None
+    when: str | Callable | None = None  # a named condition, or (reader of the row's fields by key) -> Column
     severity: str = "error"
     codes: tuple[str, ...] | None = None
     default: str = ""

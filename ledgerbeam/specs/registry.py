@@ -35,7 +35,7 @@ def field_specs(spark: SparkSession, fmt: Format) -> DataFrame:
     """The layout as a dimension: one row per field of every segment."""
     segments = [fmt.header, *fmt.body, *([fmt.trailer] if fmt.trailer else [])]
     rows = [
-        (fmt.id, s.tag, so, fo, f.key, f.label, f.kind, f.required, f.when, f.severity, f.width, f.cap, f.default,
+        (fmt.id, s.tag, so, fo, f.key, f.label, f.kind, f.required, f.when if isinstance(f.when, str | None) else "rule", f.severity, f.width, f.cap, f.default,
          f.tlv, s.encoding, s.flag, s.cardinality)
         for so, s in enumerate(segments) for fo, f in enumerate(s.fields)
     ]

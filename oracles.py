@@ -247,6 +247,18 @@ ORACLES: dict[str, str] = {
         from asg join firsts using (ac_no) where loc <> '01'""",
     "wilful_date_missing": f"with {SHEETS} select submission_id, ac_no, row_no as row_number from cr where wil = '1' and wdate = ''",
     "duplicate_accounts": f"with {SHEETS}, {DUPS} select submission_id, ac_no, row_no, account, first_row from dups",
+    "own_rules": f"""with {SHEETS},
+        yen as (select submission_id, ac_no, count(*) filter (where cur = 'JPY') as yen, count(*) as loans from cr group by all)
+        select submission_id, 'CR' as tag, ac_no, row_no as row_number, 'wilfulDefaultDate' as field_key, 'mandatory' as rule, 'error' as severity, null::varchar as value, true as bypassable, null::varchar as message
+          from cr where wil = '1' and wdate = ''
+        union all select submission_id, 'CR', ac_no, row_no, 'accountNumber', 'yen-account', 'warning', acct, true, 'Account ' || acct || ' is in yen.' from cr where cur = 'JPY' and acct[1] = 'C'
+        union all select asg.submission_id, 'AS', ac_no, asg.row_no, '', 'yen-without-phone', 'error', null, true, 'Phone 12 for ' || yen || ' of ' || loans || ' loans.' from asg join yen using (submission_id, ac_no)
+          where mobile = '12' and yen > 0
+        union all select submission_id, 'CR', ac_no, row_no, 'sanctionDate', 'busy-day', 'error', sdate, false, n || ' loans on one day.' from (select *, count(*) over (partition by submission_id, sdate) as n from cr)
+          where n > 2 and cur = 'JPY'
+        union all select submission_id, 'CR', '', first_row, '', 'share-of-yen', 'error', null, true, yen || ' of ' || n from (select submission_id, count(*) filter (where cur = 'JPY') as yen, count(*) as n from cr group by 1)
+          join (select submission_id, arg_min(row_no, (fr, row_no)) as first_row from cr join (select submission_id, ac_no, first_row as fr from firsts) using (submission_id, ac_no) group by 1) using (submission_id)
+          where 100 * yen > 11 * n""",
     "findings_rollup": f"""with {ISSUES} select submission_id, rule, field_key, sheet, min(severity) as severity, count(*) as cells, bool_and(bypassable) as bypassable,
         sheet || case when field_key = '' then '' else ' · ' || field_key end || ' · ' || rule || case when bool_and(bypassable) then '' else ' · not bypassable' end as "where" from issues group by submission_id, rule, field_key, sheet""",
     "issues_by_sheet": f"with {ISSUES} select submission_id, sheet, count(*) as errors, 0 as warnings from issues group by all",
