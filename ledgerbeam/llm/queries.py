@@ -193,7 +193,7 @@ depth as (
 answers as (select conv_id || ':' || (turn - 1) as call_id, text from conversations where role = 'assistant')
 select c.call_id, 1::bigint as n_calls, (case when a.call_id is null then 0 else 1 end)::bigint as n_results, d.step::bigint as step, true as valid,
   json_object('after', c.after, 'arguments', c.arguments, 'id', c.call_id, 'result', a.text, 'step', d.step, 'tool', c.tool, 'valid', true)::varchar as json
-from calls c join depth d using (call_id) left join answers a using (call_id)
+from calls c left join depth d using (call_id) left join answers a using (call_id)
 """
 
 ORACLES["op9_word_repeats"] = r"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -293,11 +294,32 @@ def test_tool_calls(spark):
     schemas = [("t", "n", "integer", True), ("t", "s", "string", True), ("t", "o", "boolean", False)]
     done = tool_calls.link_calls(spark.createDataFrame(calls, "call_id string, after string, tool string, arguments string"), spark.createDataFrame(results, "call_id string, content string"), spark.createDataFrame(schemas, "tool string, field string, type string, required boolean"))
     got = {r.call_id: (r.step, r.valid, r.n_calls, r.n_results) for r in done.collect()}
-    assert got == {"a": (0, True, 1, 2), "b": (1, True, 2, 0), "c": (2, False, 1, 0), "d": (None, False, 1, 0), "e": (None, False, 1, 0), "f": (0, False, 1, 0), "g": (3, False, 1, 0), "h": (1, False, 1, 0)}
+    assert got == {None: (None, False, 1, 0), "a": (0, True, 1, 2), "b": (1, True, 2, 0), "c": (2, False, 1, 0), "d": (None, False, 1, 0), "e": (None, False, 1, 0), "f": (0, False, 1, 0), "g": (3, False, 1, 0), "h": (1, False, 1, 0)}
     line = done.where("call_id = 'b'").first().json
     assert line == '{"after":"a","arguments":{"n":2,"s":"y"},"id":"b","result":null,"step":1,"tool":"t","valid":true}'
 
 
+def test_tool_calls_lose_no_contents(spark):
+    """Different calls and results of one id, ids that are null, and nothing at all, against plain Python."""
+    rng = random.Random(8)
+    calls = [(rng.choice(["a", "b", "c", None]), rng.choice(["a", "b", "z", None]), rng.choice(["t", "u", None]), rng.choice(['{"n":1}', '{"n":"x"}', "", None])) for _ in range(80)]
+    results = [(rng.choice(["a", "b", "q", None]), rng.choice(["r", "s", "", None])) for _ in range(40)]
+    schema = ("call_id string, after string, tool string, arguments string, _value int", "call_id string, content string, n_results int")
+    frames = [spark.createDataFrame([(*r, 1) for r in rows], s) for rows, s in zip((calls, results), schema)]
+    rules = spark.createDataFrame([("t", "n", "integer", True)], "tool string, field string, type string, required boolean")
+    done = tool_calls.link_calls(*frames, rules).collect()
+    assert Counter({(r.call_id, r.after, r.tool, r.arguments): r.n_calls for r in done}) == Counter(calls) and len(done) == len(set(calls))
+    of = lambda i: [c for k, c in results if k == i and i is not None]
+    assert all(r.n_results == len(of(r.call_id)) and r.result == min((c for c in of(r.call_id) if c is not None), default=None) for r in done)
+    assert all(r.valid == (r.tool == "t" and r.arguments == '{"n":1}') and json.loads(r.json)["id"] == r.call_id for r in done)
+    found = tool_calls.link_results(*frames).collect()
+    ids = {c[0] for c in calls} - {None}
+    assert Counter({(r.call_id, r.content): r.n_results for r in found}) == Counter(results) and all(r.linked == (r.call_id in ids) for r in found)
+    for some in ([0, 0], [0, 1], [1, 0]):
+        few = [f if keep else f.limit(0) for f, keep in zip(frames, some)]
+        assert tool_calls.link_calls(*few, rules).count() == (len(set(calls)) if some[0] else 0)
+
+
 def test_pipeline_against_its_rules(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
