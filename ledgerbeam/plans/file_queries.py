@@ -15,6 +15,7 @@ from ..sinks.files import write_submissions
 from ..sources.streams import read_stream
 from ..specs import consumer
 from ..specs.registry import get_format
+from ..storage import qualified
 from . import queries as Q
 from . import sample_book as B
 from .convert import convert_batch
@@ -30,7 +31,7 @@ def query(fn: Query) -> Query:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 @query

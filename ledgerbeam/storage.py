@@ -24,6 +24,12 @@ def shared_path(spark, path: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system named: the session's default one, which all executors share, if the path names none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def published(spark: SparkSession, path: str) -> DataFrame | None:
     """The manifests of a folder that submissions are published in (one row each, with the parts in file order); None for other folders."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MANIFESTS}")
