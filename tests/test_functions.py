@@ -54,3 +54,12 @@ def test_addresses(spark):
 def test_text_helpers(spark):
     assert tuple(apply(spark, name_parts, [" Asha  Rao Devi  K "])[0]) == ("Asha", "Rao", "Devi K")
     assert apply(spark, printable, ["a\x01b\tc\r\n"]) == ["a\\x01b\\tc\\r\\n"]
+
+
+def test_the_place_of_a_state_does_not_compile_its_pattern_for_each_text(spark, capsys):
+    texts = ["Plot 1, Pune, Maharashtra 411001", "A\x01B Road, Surat\x01, Gujarat\x01 near Kerala House, Kochi, Kerala\x01 682001", "x\x01y, Goa,\x01", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, v string").select("i", A.split_address(F.col("v")).alias("a"))
+    got = {r.i: (r.a.city, r.a.state_code) for r in df.collect()}
+    assert got == {0: ("Pune", "20"), 1: ("Kochi", "17"), 2: ("x\x01y", "10"), 3: (None, None)}
+    df.explain()
+    assert "(?<![a-z0-9_])" in (plan := capsys.readouterr().out) and not [p for p in plan.split("split(")[1:] if "(?<![a-z0-9_])" in p.split("),")[0][:200]]
