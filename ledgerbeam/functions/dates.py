@@ -84,7 +84,12 @@ def typed_date_text(c: Column, dtype: T.DataType | None = None) -> Column:
     """Date field of a typed segment sheet: no free-text forms."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType, T.NumericType)):
         return sheet_date_text(c, dtype)
-    return let(clean(c), lambda s: F.coalesce(ddmmyyyy(date_from_text(s)), s))
+    return let(clean(c), day_text)
+
+
+def day_text(s: Column) -> Column:
+    """``typed_date_text`` of a trimmed text."""
+    return F.coalesce(ddmmyyyy(date_from_text(s)), s)
 
 
 def cycle_code(date: Column) -> Column:

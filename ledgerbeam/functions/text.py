@@ -25,6 +25,12 @@ def clean(c: Column) -> Column:
     return F.get(F.filter(F.array(F.btrim(c, F.lit(BLANKS))), lambda t: t != ""), F.lit(0))
 
 
+def trimmed(c: Column) -> Column:
+    """``clean`` without a function over arrays, so that it stays compiled; it names its argument twice, so give a column or a short expression."""
+    t = F.btrim(c, F.lit(BLANKS))
+    return F.when(t != "", t)
+
+
 def known(c: Column) -> Column:
     """Trim; blanks and the usual placeholders (NA, N/A, nil, none, dashes) become NULL."""
     return F.get(F.filter(F.array(F.btrim(c, F.lit(BLANKS))), lambda t: ~t.rlike(
@@ -82,6 +88,11 @@ def last_pin(c: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(c, F.lit("(?<![0-9])([0-9]{6})(?![0-9])"), F.lit(1)), F.lit(-1))
 
 
+def words(c: Column) -> Column:
+    """array of the words between white space."""
+    return F.filter(F.split(c, r"[\s\u00a0\ufeff]+"), lambda w: w != "")
+
+
 def name_parts(c: Column) -> Column:
     """struct(first word, second word, everything after)."""
     return let(F.split(squeeze(c), " "), lambda w: F.struct(

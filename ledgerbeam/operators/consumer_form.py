@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.amounts import number_text
-from ..functions.dates import typed_date_text
-from ..functions.text import address_chunks, clean, name_parts
+from ..functions.amounts import number_in, plain_number
+from ..functions.dates import day_text, typed_date_text
+from ..functions.text import clean, trimmed, words
 from ..specs import consumer as C
 from .partitioning import by_submission, small_enough
 from .segments import input_text, note, notes, segment, some_present, spread
 
+#: Characters of an address line.
+LINE = 40
+
 
 def explode_form(form: DataFrame, meta: DataFrame, keep_empty_email: bool = False) -> DataFrame:
     """Form rows to segment envelopes.  The member id and short name of the run parameters are stamped on the
@@ -22,25 +26,32 @@ def explode_form(form: DataFrame, meta: DataFrame, keep_empty_email: bool = Fals
     keys = [k for k in C.FORM_LETTERS.values() if k in form.columns]
     typed = {f.name: f.dataType for f in form.schema.fields}
     amounts = ("highCredit", "currentBalance", "amountOverdue", "rateOfInterest")
-    cols = []
+    # The cells, then what is read from them, then the segments: each a projection with a function over arrays in it, which Spark
+    # compiles as many small methods.  One of plain expressions alone would become a single method, too large for the JVM to compile.
+    cells = [(F.col(k) if k in C.FORM_DATES else input_text(form, k)).alias(k) for k in keys if k != "consumerName"]
+    if "consumerName" in keys:
+        cells.append(words(F.col("consumerName") if isinstance(typed["consumerName"], T.StringType) else input_text(form, "consumerName")).alias("_name"))
+    rows = form.filter(some_present(keys)).select("submission_id", F.col("row_no").cast("bigint").alias("row_no"), *cells)
+    read = {}
     for k in keys:
-        c = input_text(form, k)
         if k in C.FORM_DATES:
-            c = typed_date_text(F.col(k), typed[k])
+            read[k] = day_text(trimmed(F.col(k))) if isinstance(typed[k], T.StringType) else typed_date_text(F.col(k), typed[k])
         elif k in amounts:
-            c = number_text(c)
-        cols.append(c.alias(k))
-    rows = form.filter(some_present(keys)).select("submission_id", F.col("row_no").cast("bigint").alias("row_no"), *cols)
+            read[f"_{k}"] = number_in(F.col(k))
+    rows = rows.withColumns(read)
     who = meta.select("submission_id", clean(F.col("member_id")).alias("_member"),
                       clean(F.col("member_short_name")).alias("_short"))
     rows = by_submission(rows, who, small_enough(meta.select("submission_id")), ("row_no",), "left")
 
     def col(key: str) -> Column:
-        return F.col(key) if key in rows.columns else F.lit(None).cast("string")
+        if key not in rows.columns:
+            return F.lit(None).cast("string")
+        return plain_number(F.col(key), F.col(f"_{key}")) if key in amounts else F.col(key)
 
-    rows = rows.withColumns({"_name": name_parts(col("consumerName")), "_lines": address_chunks(col("address"))})
-    first, second, rest = (F.col(f"_name.{n}") for n in ("first", "second", "rest"))
-    line1, line2, line3 = (F.get(F.col("_lines"), F.lit(i)) for i in range(3))
+    name = F.col("_name") if "_name" in rows.columns else F.array().cast("array<string>")
+    first, second = F.get(name, F.lit(0)), F.get(name, F.lit(1))
+    rest = F.when(F.size(name) > 2, F.array_join(F.filter(name, lambda _, i: i >= 2), " "))
+    line1, line2, line3 = (trimmed(F.substring(col("address"), 1 + i * LINE, LINE)) for i in range(3))
     pn = segment(fmt, "PN", {"name": first, "name2": second, "name3": rest, "dateOfBirth": col("dateOfBirth"),
                              "gender": col("gender")})
     id_ = F.when(col("pan").isNotNull(), segment(fmt, "ID", {"idType": F.lit("01"), "idNumber": col("pan")}))

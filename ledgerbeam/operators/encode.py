@@ -28,7 +28,10 @@ def fixed_width(seg: Segment, values: Column) -> Column:
 
 
 def tag_length_value(seg: Segment, values: Column) -> Column:
-    """Prefix, then code + two-digit length + value for every present field."""
+    """Prefix, then code + two-digit length + value for every present field.
+
+    A segment without any value is its prefix.  Looking for a value goes over the array, which keeps Spark from compiling the
+    fields of all segments into one method of a whole stage: the JVM would interpret a method of that size."""
     parts = [F.lit(seg.tlv_prefix)]
     for i, f in enumerate(seg.fields):
         if f.key.startswith("_"):
@@ -37,7 +40,7 @@ def tag_length_value(seg: Segment, values: Column) -> Column:
         n = F.length(v)
         size = F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
         parts.append(F.when(v != "", F.concat(F.lit(f.tlv), size, v)).otherwise(""))
-    return F.concat(*parts)
+    return F.when(F.exists(values, lambda v: v != ""), F.concat(*parts)).otherwise(parts[0])
 
 
 def concatenated(seg: Segment, values: Column) -> Column:

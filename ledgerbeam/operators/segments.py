@@ -91,9 +91,12 @@ def typed_value(c: Column, kind: str, dtype: T.DataType) -> Column:
 def cell_text(name: str) -> Column:
     """A named input column as trimmed one-line text, NULL when blank.
 
-    Written as SQL text: intake has one of these per column, and text is far cheaper to build than expressions."""
-    return F.expr(f"get(filter(array(regexp_replace(btrim(cast(`{name}` as string), '{SQL_BLANKS}'), "
-                  f"'[ \\\\t]*[\\\\r\\\\n\\\\t]+[ \\\\t]*', ' ')), t -> t != ''), 0)")
+    Written as SQL text: intake has one of these per column, and text is far cheaper to build than expressions.  No function over
+    arrays names the trimmed text, as it would be interpreted; compiled code works it out once."""
+    trimmed = f"btrim(cast(`{name}` as string), '{SQL_BLANKS}')"
+    broken = " or ".join(f"contains({trimmed}, '{mark}')" for mark in (r"\n", r"\r", r"\t"))
+    return F.expr(f"case when {trimmed} = '' then null when {broken} then "
+                  f"regexp_replace({trimmed}, '[ \\\\t]*[\\\\r\\\\n\\\\t]+[ \\\\t]*', ' ') else {trimmed} end")
 
 
 SQL_BLANKS = r" \t\n\r\u000c\u000b\u00a0\ufeff"
