@@ -35,9 +35,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids instead of texts, and whether they decode to the text."""
+    """Token ids instead of texts, and whether they decode to the text. Encoded rows are written in between: in one stage with the decoding,
+    each task would keep two Python workers and their batches in memory."""
     path = tokenizer_path()
-    done = bpe.decode(bpe.encode(docs, path), path)
+    done = bpe.decode(Scratch(spark, "bpe-encoding").cut(bpe.encode(docs, path), "encoded"), path)
     return done.select(*[c for c in docs.columns if c != "text"], "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

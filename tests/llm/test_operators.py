@@ -346,6 +346,15 @@ def test_pipeline_against_its_rules(spark, tmp_path):
             assert set(after) == set(before) and all(r.round_trip and r.n_tokens == len(r.ids) for r in after.values())
 
 
+def test_pipeline_encodes_and_decodes_in_stages_of_their_own(spark):
+    """Chained in one stage, each task keeps a Python worker for either of them."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "some words here"), (2, None), (3, "")], "doc_id long, text string")
+    done = corpus_pipeline.bpe_encoding(spark, docs, "/root/testdata/sf0.001")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: (r.n_tokens > 0, r.round_trip) for r in done.collect()} == {1: (True, True), 2: (False, True), 3: (False, True)}
+
+
 def test_digests_derive_from_outputs(spark):
     import __spark_entry__ as entry
 
