@@ -88,8 +88,8 @@ def typed_date_text(c: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def day_text(s: Column) -> Column:
-    """``typed_date_text`` of a trimmed text."""
-    return F.coalesce(ddmmyyyy(date_from_text(s)), s)
+    """``typed_date_text`` of a trimmed text; eight digits stand as they are, be they a day or not, so they are not parsed."""
+    return F.coalesce(ddmmyyyy(parse_dmy(s)), s)
 
 
 def cycle_code(date: Column) -> Column:

@@ -28,14 +28,15 @@ def explode_form(form: DataFrame, meta: DataFrame, keep_empty_email: bool = Fals
     amounts = ("highCredit", "currentBalance", "amountOverdue", "rateOfInterest")
     # The cells, then what is read from them, then the segments: each a projection with a function over arrays in it, which Spark
     # compiles as many small methods.  One of plain expressions alone would become a single method, too large for the JVM to compile.
-    cells = [(F.col(k) if k in C.FORM_DATES else input_text(form, k)).alias(k) for k in keys if k != "consumerName"]
+    written = {k for k in C.FORM_DATES if k in keys and isinstance(typed[k], T.StringType)}
+    cells = [(trimmed(F.col(k)) if k in written else F.col(k) if k in C.FORM_DATES else input_text(form, k)).alias(k) for k in keys if k != "consumerName"]
     if "consumerName" in keys:
         cells.append(words(F.col("consumerName") if isinstance(typed["consumerName"], T.StringType) else input_text(form, "consumerName")).alias("_name"))
     rows = form.filter(some_present(keys)).select("submission_id", F.col("row_no").cast("bigint").alias("row_no"), *cells)
     read = {}
     for k in keys:
         if k in C.FORM_DATES:
-            read[k] = day_text(trimmed(F.col(k))) if isinstance(typed[k], T.StringType) else typed_date_text(F.col(k), typed[k])
+            read[k] = day_text(F.col(k)) if k in written else typed_date_text(F.col(k), typed[k])
         elif k in amounts:
             read[f"_{k}"] = number_in(F.col(k))
     rows = rows.withColumns(read)

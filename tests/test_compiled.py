@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerbeam.functions.dates import date_from_text, day_text, ddmmyyyy
 from ledgerbeam.operators.consumer_form import explode_form
 from ledgerbeam.operators.encode import encode_rows
 from ledgerbeam.operators.segments import cell_text
@@ -63,3 +64,12 @@ def test_form_cells_of_odd_shapes(spark, meta):
 def test_cell_text(spark):
     cells = spark.createDataFrame([("﻿ a \t\n b\r\nc ",), (" \u000b ",), (None,), ("a  b",), ("",)], "c string")
     assert [r[0] for r in cells.select(cell_text("c")).collect()] == ["a b c", None, None, "a  b", None]
+
+
+def test_eight_digits_are_not_parsed_to_be_written_again(spark, capsys):
+    given = ["05061980", "31022020", "00000000", "01010000", "29022000", "29021900", "5/6/1980", "31-2-2020", "1.1.0001", "1/1/0000", "4 June 2025", "123", "", None]
+    dates = spark.createDataFrame([(t,) for t in given], "t string")
+    both = dates.select(day_text(F.col("t")).alias("now"), F.coalesce(ddmmyyyy(date_from_text(F.col("t"))), F.col("t")).alias("parsed")).collect()
+    assert [r.now for r in both] == [r.parsed for r in both] and both[6].now == "05061980"
+    dates.select(day_text(F.col("t"))).explain("extended")
+    assert "ddMMyyyy, TimestampType" not in capsys.readouterr().out
