@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.consumer_form import explode_form
 from ..operators.master_sheet import explode_book
-from ..operators.partitioning import cut
+from ..operators.partitioning import cut, deal_out
 from ..operators.rules import Rule
 from ..operators.segments import flat_records, segment_sheet, union_sheets
 from ..operators.validate import Rules
@@ -30,11 +30,19 @@ class Intake(NamedTuple):
     overrides: DataFrame | None
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Data rows dealt over all tasks before they are mapped: adaptive execution makes the tasks of their joins few.
+
+    The keys stand in another order than in those joins, as Spark leaves out a second shuffle by the same keys."""
+    return deal_out(rows, "row_no", "submission_id")
+
+
 def read_cells(cells: DataFrame, meta: DataFrame, fmt: Format, workbook_credit_types: bool = False) -> Intake:
     """The cell table of a reader (see sources.workbooks.CELL_SCHEMA, with submission_id for path) as what a conversion needs.
 
     ``workbook_credit_types``: credit types resolve through each workbook's own lookup sheet instead of the published catalogue."""
-    values = cut(sheets.normal_cells(cells), "values")
+    # One task wrote and read most of the cells of a large sheet, whatever the number of tasks after it.
+    values = cut(deal_out(sheets.normal_cells(cells), "submission_id", "sheet", "row_no"), "values")
     issues = unreadable_issues(cells, fmt).unionByName(odd_cell_issues(cells, fmt))
     spec = fmt.flat_sheet
     if spec is None:
@@ -43,11 +51,11 @@ def read_cells(cells: DataFrame, meta: DataFrame, fmt: Format, workbook_credit_t
     issues = issues.unionByName(sheets.missing_sheet_issues(cells, values, fmt))
     if spec.match == "prefix":
         lookup = credit_type_lookup(values) if workbook_credit_types else None
-        segments = explode_book(sheets.master_book(values, spec), fmt, lookup)
+        segments = explode_book(_dealt(sheets.master_book(values, spec)), fmt, lookup)
     elif spec.match == "letter":
-        segments = explode_form(sheets.data_rows(values, spec), meta)
+        segments = explode_form(_dealt(sheets.data_rows(values, spec)), meta)
     else:
-        segments = flat_records(sheets.data_rows(values, spec), fmt)
+        segments = flat_records(_dealt(sheets.data_rows(values, spec)), fmt)
     return Intake(segments, issues, sheets.field_places(values, spec), sheets.header_overrides(values, fmt))
 
 
