@@ -30,12 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: the costly plan above runs once, later readers
-    take only the columns they need, and lost executors never recompute it."""
+    take only the columns they need, and lost executors never recompute it.
+
+    ``group_bytes`` bounds the rows that a task holds when it writes or reads them, for tables of large values."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
     _cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,6 +11,7 @@ A stream that cannot be followed to its trailer gives one fault and no records."
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -24,8 +25,12 @@ from ..specs.model import Format
 from ..storage import file_paths
 from .bureau_files import _submission
 
-#: Bytes of a block, but for what comes with its last cut.
-BLOCK_BYTES = 1 << 20
+#: Bytes of a block, but for what comes with its last cut. Writers and readers of tables hold some hundred rows at a time, so blocks are small.
+BLOCK_BYTES = 1 << 16
+#: Bytes of the blocks that a task holds at a time when they are written and read back.
+GROUP_BYTES = 1 << 23
+#: Segments that a task takes apart before it hands them on.
+SEGMENTS = 4096
 #: Bytes of a file whose splits are composed together.
 REACH = 1 << 33
 
@@ -150,7 +155,7 @@ def read_blocks(spark: SparkSession, path: str, end: str) -> DataFrame:
     raw = spark.read.option("lineSep", end).option("recursiveFileLookup", True).text(file_paths(spark, path))
     pieces = raw.select(_submission(F.col("_metadata.file_path")).alias("submission_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"),
                         F.col("_metadata.file_block_start").alias("block_start"), F.col("value").cast("binary").alias("piece"))
-    blocks = cut(pieces.mapInArrow(_gather(end.encode()), _BLOCK), "stream")
+    blocks = cut(pieces.mapInArrow(_gather(end.encode()), _BLOCK), "stream", GROUP_BYTES)
     held = F.sum(F.length("body") + F.when(F.col("open"), len(end)).otherwise(0))
     last = blocks.groupBy("file").agg((held > F.max("file_size")).alias("short"), F.max(F.struct("block_start", "n")).alias("at"))
     closed = F.when(F.col("short") & (F.struct("block_start", "n") == F.col("at")), F.col("body")).otherwise(F.concat("body", F.lit(end).cast("binary")))
@@ -196,16 +201,20 @@ def block_states(maps: DataFrame) -> DataFrame:
 
 
 def _cut_fields(grammar: Grammar):
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+
+    def segments(batch: pa.RecordBatch) -> Iterator[tuple]:
+        heads = [batch.column(c).to_pylist() for c in (*PLACE, "entry")]
+        for *place, entry, body in zip(*heads, batch.column("body"), strict=True):
+            found = grammar.records(body.as_buffer().to_pybytes(), grammar.header if entry == HEAD else 0)
+            for k, (subject, marker, values, odd) in enumerate(found):
+                yield (*place, subject, k, grammar.tags[marker], values, odd)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            heads = [batch.column(c).to_pylist() for c in (*PLACE, "entry")]
-            for *place, entry, body in zip(*heads, batch.column("body"), strict=True):
-                found = grammar.records(body.as_buffer().to_pybytes(), grammar.header if entry == HEAD else 0)
-                rows += [(*place, subject, k, grammar.tags[marker], values, odd) for k, (subject, marker, values, odd) in enumerate(found)]
-            if rows:
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*PLACE, "subject", "part", "tag", "values", "unknown"])
+            rows = segments(batch)
+            while some := list(islice(rows, SEGMENTS)):  # the fields of a whole batch, as Python's texts, are many times its size
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], [*PLACE, "subject", "part", "tag", "values", "unknown"])
     return run
 
 
@@ -215,7 +224,7 @@ def read_stream(spark: SparkSession, path: str, fmt: Format) -> Stream:
     records: (PLACE, subject, part, tag, values, unknown), ordered by PLACE and part within a submission; a subject is known by PLACE and
     its number.  ``unknown`` lists codes that the segment does not have.  faults: (submission_id, reason)."""
     grammar = Grammar(fmt)
-    blocks = cut(read_blocks(spark, path, grammar.end.decode()), "blocks")
+    blocks = cut(read_blocks(spark, path, grammar.end.decode()), "blocks", GROUP_BYTES)
     # states are numbers, so from here on bytes move only for blocks that a subject crosses
     states = cut(block_states(cut(blocks.mapInArrow(_transfers(grammar), "submission_id string, file string, reach long, block_start long, n int, map array<int>"), "maps")).drop("map"), "states")
     ends = states.groupBy("submission_id").agg(F.max_by("exit", F.struct(*PLACE[1:])).alias("last"))
